@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .bpe_automaton import round_trip_digests
 from .dac_tokens import dac_round_trip
+from .fingerprint import fingerprint_report
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -13,10 +15,18 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprint(spark, sf_dir):
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op2_dac_tokens(spark, sf_dir):
     return dac_round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_bpe_automaton(spark, sf_dir):
+    return round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

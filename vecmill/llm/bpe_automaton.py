@@ -21,10 +21,10 @@ extend the prefixes that have one.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -32,17 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-
-PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_alphabet() -> dict[str, int]:
-    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the
-    other bytes, in order, for the characters from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
-
+from .tokens import PRE_SPLIT, byte_alphabet, letters_then_marks
 
 class MergeAutomaton:
     """The compiled automaton of a vocabulary (token bytes to id) and ranked merges."""
@@ -137,7 +127,7 @@ class BpeCodec:
     without that library. Special tokens in a text become their ids. The caches are
     emptied when they hold ``most`` entries, which bounds memory, not what is encoded."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 350_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -152,12 +142,11 @@ class BpeCodec:
         self.labels = {str(i): t for i, t in self.automaton.label.items()} | {str(i): t.encode() for t, i in special.items()}
         self.special = {t: str(i) for t, i in special.items()}
         self.cut_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
-        self.whole = re.compile("|".join([r" \s", r" $", r"^\s", *map(re.escape, special)]))
         self.pre_split = regex.compile(PRE_SPLIT).findall
         self.words: dict[str, str] = {}
-        self.pieces: dict[str, str] = {}
         self.emitted: dict[str, bytes] = {}
         self.most = most
+        self.marks: dict[str, str] = {}
 
     def encode_plain(self, text: str) -> str:
         """Ids in decimal, joined by commas, of a text without special tokens."""
@@ -169,34 +158,53 @@ class BpeCodec:
             return [self.encode_plain(text)] if text else []
         return [self.special[p] if p in self.special else self.encode_plain(p) for p in self.cut_special.split(text) if p]
 
-    def encode(self, texts: list[str]) -> list[list[str]]:
-        """For each text its ids as strings, some ids in each, joined by commas."""
-        # A word begins at a single space, so texts without other white space beside one are cut there.
-        split = [None if self.whole.search(t) else t.split(" ") for t in texts]
-        if len(self.words) > self.most:
-            self.words.clear()
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
+    def encode_word(self, w: str) -> str | None:
+        """ids of a word after a space; None if its text can't be cut there."""
+        if not w or w[0].isspace() or self.cut_special and self.cut_special.search(w):
+            return None
+        return self.encode_plain(" " + w)
+
+    def encode_one(self, text: str) -> list[str]:
+        """The text's ids as strings, some ids in each, joined by commas."""
+        words = self.words
+        if len(words) > self.most:
+            words.clear()
+        if len(self.marks) > self.most:
+            self.marks.clear()
         if len(self.automaton.arcs) > 2 * self.most:
             self.automaton.arcs.clear()
-        words, plain = self.words, self.encode_plain
-        enc, pieces = self.automaton.encode, self.pieces
-        for w in set(chain.from_iterable(s[1:] for s in split if s)).difference(words):
-            ids = []
-            for p in self.pre_split(" " + w):
-                got = pieces.get(p)
+        # A word begins at a single space, so texts without other white space beside one are cut there.
+        first, *rest = text.split(" ")
+        if first[:1].isspace() or self.cut_special and self.cut_special.search(first):
+            return self.encode_whole(text)
+        ids = list(map(words.get, rest))
+        out = [self.encode_plain(first)] if first else []
+        if None not in ids:
+            out += ids
+            return out
+        for w, got in zip(rest, ids):
+            if got is not None:
+                out.append(got)
+                continue
+            if not w.isalpha() and (cut := letters_then_marks(w)) and cut[1].isalpha():
+                got, mark = words.get(cut[1]), self.marks.get(cut[2])
                 if got is None:
-                    got = pieces[p] = ",".join(map(str, enc(p.encode())))
-                ids.append(got)
-            words[w] = ",".join(ids)
-        out = []
-        for t, s in zip(texts, split):
-            if s is None:
-                out.append(self.encode_whole(t))
-            else:
-                out.append([plain(s[0]), *map(words.__getitem__, s[1:])] if s[0] else list(map(words.__getitem__, s[1:])))
+                    got = words[cut[1]] = self.encode_plain(" " + cut[1])
+                if mark is None:
+                    mark = self.marks[cut[2]] = self.encode_plain(cut[2])
+                out += (got, mark)
+                continue
+            got = self.encode_word(w)
+            if got is None:
+                return self.encode_whole(text)
+            if len(w) < 20:
+                words[w] = got
+            out.append(got)
         return out
 
+    def encode(self, texts: list[str]) -> list[list[str]]:
+        return list(map(self.encode_one, texts))
+
     def decode(self, ids: list[str]) -> str:
         """The text that ids spell: their arc labels, bytes that aren't UTF-8 replaced."""
         if len(self.emitted) > self.most:
@@ -217,6 +225,7 @@ _CODECS: dict[str, BpeCodec] = {}
 def codec(path: str) -> BpeCodec:
     """The worker's codec of this file, compiled once."""
     if path not in _CODECS:
+        gc.disable()  # the caches hold no cycles, and to walk them costs a quarter of the time
         _CODECS[path] = BpeCodec(path)
     return _CODECS[path]
 

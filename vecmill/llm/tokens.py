@@ -2,21 +2,41 @@
 
 A text is cut at single spaces. Before each of them the byte-level pre-tokenizer
 starts a new word, so the pieces can be encoded one by one, and most of them were
-met before. Texts in which a space meets other white space, or which spell a
-special token, go to the library whole. Either way the ids are the library's.
+met before. A word that wasn't is pre-split and its parts given to the library's BPE
+model. Texts in which a space meets other white space, or which spell a special
+token, go to the library whole, and so do words with characters of which two versions
+of Unicode may differ. Either way the ids are the library's.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
+import regex
+
+PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+#: From here on a letter of one version of Unicode may not be one of another.
+UNSURE = "\u0530"
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the
+    other bytes, in order, for the characters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
+
+#: Letters, then ASCII marks without the apostrophe (which may begin a contraction) and the brackets of special tokens.
+letters_then_marks = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;=?@\[\]^`{}~]+)").fullmatch
 
 
 class CachedEncoder:
-    """ids of texts. The cache is emptied when it holds ``most`` words, which bounds memory."""
+    """ids of texts. A cache is emptied when it holds ``most`` words, which bounds memory."""
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -25,46 +45,77 @@ class CachedEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.model = self.tok.model
         special = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
-        self.whole = re.compile("|".join([r" \s", r" $", r"^\s", *map(re.escape, special)]))
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if max(vocab.values()) < 65536 else "<u4")
-        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
-            self.n_bytes[i] = len(token)  # the byte-level alphabet has one character a byte
-        self.cache: dict[str, bytes] = {}
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
+        self.code = "H" if max(self.tok.get_vocab(with_added_tokens=True).values()) < 65536 else "I"
+        self.dtype = np.dtype(self.code)
+        self.to_alphabet = {b: c for c, b in byte_alphabet().items()}
+        self.pre_split = regex.compile(PRE_SPLIT).findall
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.most = most
 
-    def _encode_words(self, words: list[str]) -> None:
-        text = " " + " ".join(words)
-        ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
-        at = np.cumsum([len(w.encode()) + 1 for w in words])
-        ends = np.cumsum(self.n_bytes[ids])
-        cut = np.searchsorted(ends, at) + 1
-        if not np.array_equal(ends[cut - 1], at):
-            raise ValueError("the tokenizer joins pieces across spaces; it isn't byte-level BPE")
-        start = 0
-        for w, end in zip(words, cut.tolist()):
-            self.cache[w] = ids[start:end].tobytes()
-            start = end
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def _model(self, part: str) -> bytes:
+        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.to_alphabet))
+        return self._bytes([t.id for t in tokens])
+
+    def _word(self, w: str) -> bytes | None:
+        """ids of a word after a space; None if its text can't be cut there."""
+        if not w or w[0].isspace() or self.special(w):
+            return None
+        if max(w) >= UNSURE:
+            return self._whole(" " + w)
+        out, parts = [], self.parts
+        for p in self.pre_split(" " + w):
+            key = p[1:] if p[0] == " " else p
+            cache = self.words if p[0] == " " else parts
+            got = cache.get(key)
+            if got is None:
+                got = cache[key] = self._model(p)
+            out.append(got)
+        return b"".join(out)
+
+    def encode_one(self, text: str) -> bytes:
+        """Little-endian ids, of ``dtype``."""
+        words, parts = self.words, self.parts
+        if len(words) > self.most:
+            words.clear()
+        if len(parts) > self.most:
+            parts.clear()
+        first, *rest = text.split(" ")
+        if first[:1].isspace() or self.special(first):
+            return self._whole(text)
+        ids = list(map(words.get, rest))
+        if None in ids:
+            for i, got in enumerate(ids):
+                if got is not None:
+                    continue
+                w, mark = rest[i], b""
+                if not w.isalpha() and (cut := letters_then_marks(w)) and (w := cut[1]).isalpha():
+                    mark = parts.get(cut[2])  # a run of marks is one part, whatever letters come before
+                    if mark is None:
+                        mark = parts[cut[2]] = self._model(cut[2])
+                    got = words.get(w)
+                if got is None:
+                    if w.isalpha() and max(w) < UNSURE:
+                        got = words[w] = self._model(" " + w)
+                    else:
+                        got = self._word(rest[i])
+                        if got is None:
+                            return self._whole(text)
+                        mark = b""
+                ids[i] = got + mark
+        return (self._whole(first) if first else b"") + b"".join(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, of ``dtype``."""
-        split = [None if self.whole.search(t) else t.split(" ") for t in texts]
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        new = set(chain.from_iterable(s[1:] for s in split if s)).difference(self.cache)
-        if new:
-            self._encode_words(list(new))
-        get, out = self.cache.__getitem__, []
-        first = [s[0] for s in split if s]
-        heads = iter(self.tok.encode_batch(first, add_special_tokens=False)) if first else iter(())
-        for t, s in zip(texts, split):
-            if s is None:
-                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes())
-            else:
-                out.append(np.array(next(heads).ids, self.dtype).tobytes() + b"".join(map(get, s[1:])))
-        return out
+        return list(map(self.encode_one, texts))
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -73,5 +124,6 @@ _ENCODERS: dict[str, CachedEncoder] = {}
 def encoder(path: str) -> CachedEncoder:
     """The worker's encoder of this file; it and its cache outlive the task."""
     if path not in _ENCODERS:
+        gc.disable()  # the caches hold no cycles, and to walk them costs a quarter of the time
         _ENCODERS[path] = CachedEncoder(path)
     return _ENCODERS[path]

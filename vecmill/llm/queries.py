@@ -7,6 +7,7 @@ import public_tokenizers
 from .bpe_automaton import round_trip_digests
 from .dac_tokens import dac_round_trip
 from .fingerprint import fingerprint_report
+from .superminhash import near_duplicates
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -27,6 +28,10 @@ def op3_bpe_automaton(spark, sf_dir):
     return round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_superminhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokens import PRE_SPLIT, byte_alphabet, letters_then_marks
+from .tokens import PRE_SPLIT, NotCut, Words, byte_alphabet
 
 class MergeAutomaton:
     """The compiled automaton of a vocabulary (token bytes to id) and ranked merges."""
@@ -122,6 +122,18 @@ class MergeAutomaton:
         return out[::-1]
 
 
+class Emitted(dict):
+    """The bytes that runs of ids spell; kept by run, and emptied when there are ``most``."""
+
+    def __init__(self, labels: dict[str, bytes], most: int):
+        super().__init__()
+        self.labels, self.most = labels, most
+
+    def __missing__(self, ids: str) -> bytes:
+        got = self[ids] = b"".join([self.labels[i] for i in ids.split(",")])
+        return got
+
+
 class BpeCodec:
     """Encodes and decodes texts as a byte-level BPE file of the tokenizers library says,
     without that library. Special tokens in a text become their ids. The caches are
@@ -143,10 +155,12 @@ class BpeCodec:
         self.special = {t: str(i) for t, i in special.items()}
         self.cut_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.pre_split = regex.compile(PRE_SPLIT).findall
-        self.words: dict[str, str] = {}
-        self.emitted: dict[str, bytes] = {}
-        self.most = most
-        self.marks: dict[str, str] = {}
+        self.has_special = self.cut_special.search if special else lambda _: None
+        self.words = Words(self.encode_plain, self._part, ",".join, self.has_special, most)
+        self.emitted = Emitted(self.labels, most)
+
+    def _part(self, part: str) -> str:
+        return ",".join(map(str, self.automaton.encode(part.encode())))
 
     def encode_plain(self, text: str) -> str:
         """Ids in decimal, joined by commas, of a text without special tokens."""
@@ -158,65 +172,29 @@ class BpeCodec:
             return [self.encode_plain(text)] if text else []
         return [self.special[p] if p in self.special else self.encode_plain(p) for p in self.cut_special.split(text) if p]
 
-    def encode_word(self, w: str) -> str | None:
-        """ids of a word after a space; None if its text can't be cut there."""
-        if not w or w[0].isspace() or self.cut_special and self.cut_special.search(w):
-            return None
-        return self.encode_plain(" " + w)
-
     def encode_one(self, text: str) -> list[str]:
         """The text's ids as strings, some ids in each, joined by commas."""
-        words = self.words
-        if len(words) > self.most:
-            words.clear()
-        if len(self.marks) > self.most:
-            self.marks.clear()
-        if len(self.automaton.arcs) > 2 * self.most:
-            self.automaton.arcs.clear()
         # A word begins at a single space, so texts without other white space beside one are cut there.
         first, *rest = text.split(" ")
-        if first[:1].isspace() or self.cut_special and self.cut_special.search(first):
+        if first[:1].isspace() or self.has_special(first):
             return self.encode_whole(text)
-        ids = list(map(words.get, rest))
-        out = [self.encode_plain(first)] if first else []
-        if None not in ids:
-            out += ids
-            return out
-        for w, got in zip(rest, ids):
-            if got is not None:
-                out.append(got)
-                continue
-            if not w.isalpha() and (cut := letters_then_marks(w)) and cut[1].isalpha():
-                got, mark = words.get(cut[1]), self.marks.get(cut[2])
-                if got is None:
-                    got = words[cut[1]] = self.encode_plain(" " + cut[1])
-                if mark is None:
-                    mark = self.marks[cut[2]] = self.encode_plain(cut[2])
-                out += (got, mark)
-                continue
-            got = self.encode_word(w)
-            if got is None:
-                return self.encode_whole(text)
-            if len(w) < 20:
-                words[w] = got
-            out.append(got)
-        return out
+        self.words.trim()
+        if len(self.automaton.arcs) > 2 * self.words.most:
+            self.automaton.arcs.clear()
+        try:
+            ids = list(map(self.words.__getitem__, rest))
+        except NotCut:
+            return self.encode_whole(text)
+        return [self.encode_plain(first), *ids] if first else ids
 
     def encode(self, texts: list[str]) -> list[list[str]]:
         return list(map(self.encode_one, texts))
 
     def decode(self, ids: list[str]) -> str:
         """The text that ids spell: their arc labels, bytes that aren't UTF-8 replaced."""
-        if len(self.emitted) > self.most:
+        if len(self.emitted) > self.emitted.most:
             self.emitted.clear()
-        emitted = self.emitted
-        try:
-            return b"".join(map(emitted.__getitem__, ids)).decode("utf-8", "replace")
-        except KeyError:
-            labels = self.labels
-            for some in set(ids).difference(emitted):
-                emitted[some] = b"".join([labels[i] for i in some.split(",")])
-            return b"".join(map(emitted.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self.emitted.__getitem__, ids)).decode("utf-8", "replace")
 
 
 _CODECS: dict[str, BpeCodec] = {}

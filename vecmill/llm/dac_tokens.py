@@ -45,14 +45,15 @@ class DacArray:
     def build(cls, ids: np.ndarray, bits: int = 8) -> DacArray:
         if not 1 <= bits <= 8:
             raise ValueError("bits must be from 1 to 8")
-        levels, rest = [], ids.astype(np.uint64)
+        levels, rest = [], ids
         while True:
-            chunk = (rest & np.uint64((1 << bits) - 1)).astype(np.uint8)
-            rest = rest >> np.uint64(bits)
+            chunk = (rest & rest.dtype.type((1 << bits) - 1)).astype(np.uint8)
+            rest = rest >> rest.dtype.type(bits)
             more = rest > 0
             bitmap = np.packbits(more, bitorder="little")
-            ones = np.add.reduceat(more.astype(np.uint64), np.arange(0, len(more), BLOCK)) if len(more) else np.zeros(0, np.uint64)
-            levels.append((chunk, bitmap, np.concatenate([[0], np.cumsum(ones)[:-1]]).astype(np.uint64) if len(ones) else ones))
+            words = np.concatenate([bitmap, np.zeros(-len(bitmap) % (BLOCK // 8), np.uint8)]).view(np.uint64)
+            ones = np.bitwise_count(words).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint64)
+            levels.append((chunk, bitmap, np.cumsum(ones, dtype=np.uint64) - ones))
             rest = rest[more]
             if not len(rest):
                 return cls(levels, bits)
@@ -65,10 +66,9 @@ class DacArray:
         _, bitmap, directory = self.levels[level]
         block = at // BLOCK
         ones = directory[block].astype(np.int64)
-        padded = np.concatenate([bitmap, np.zeros(BLOCK // 8, np.uint8)])
-        span = padded[(block * (BLOCK // 8))[:, None] + np.arange(BLOCK // 8)]
+        span = bitmap[np.minimum((block * (BLOCK // 8))[:, None] + np.arange(BLOCK // 8), len(bitmap) - 1)]
         bits = np.unpackbits(span, axis=1, bitorder="little")
-        return ones + np.where(np.arange(BLOCK) < (at % BLOCK)[:, None], bits, 0).sum(axis=1)
+        return ones + np.where(np.arange(BLOCK) < (at % BLOCK)[:, None], bits, 0).sum(axis=1, dtype=np.int64)
 
     def access(self, at) -> np.ndarray:
         """The ids at some positions, each found by itself."""
@@ -88,17 +88,17 @@ class DacArray:
 
     def slice(self, start: int, end: int) -> np.ndarray:
         """The ids from start to end: a level's part begins at the rank of its first id."""
-        out, who, level = np.zeros(end - start, np.uint32), np.arange(end - start), 0
+        out, who, level = np.zeros(end - start, np.uint32), slice(None), 0
         while end > start:
             chunk, bitmap, _ = self.levels[level]
             out[who] |= chunk[start:end].astype(np.uint32) << np.uint32(level * self.bits)
             first = start // 8
-            more = np.unpackbits(bitmap[first : (end + 7) // 8], bitorder="little")[start - first * 8 : end - first * 8].astype(bool)
-            who, n = who[more], int(more.sum())
-            if not n:
+            more = np.flatnonzero(np.unpackbits(bitmap[first : (end + 7) // 8], bitorder="little")[start - first * 8 : end - first * 8])
+            if not len(more):
                 break
+            who = more if level == 0 else who[more]
             start = int(self._rank(level, np.array([start]))[0])
-            end, level = start + n, level + 1
+            end, level = start + len(more), level + 1
         return out
 
     def write(self, f) -> None:
@@ -189,10 +189,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     yield flush()
                 if bucket != kept["bucket"]:
                     kept.update(bucket=bucket, seq=0)
-                ids = np.frombuffer(raw.as_buffer(), enc.dtype)
                 kept["docs"].append(doc)
-                kept["ids"].append(ids.copy())
-                kept["n"] += len(ids)
+                kept["ids"].append(np.frombuffer(raw.as_py(), enc.dtype))
+                kept["n"] += len(kept["ids"][-1])
         if kept["docs"]:
             yield flush()
 

@@ -111,7 +111,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         pdf["extra"] = fit_budget(pdf["size"].to_numpy(), pdf["n"].to_numpy(), int(round(target)) - base * size, reserve)
         return pdf[["source", "size", "n", "source_size", "target", "base", "extra"]]
 
-    joined = hist.join(goal.drop("n_docs"), hist["source"].eqNullSafe(goal["source"])).select(hist["source"], "size", "n", "source_size", "target")
+    goal = goal.select(F.col("source").alias("of"), "source_size", "target")
+    joined = hist.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     plan = joined.groupBy("source").applyInPandas(fit, "source string, size long, n long, source_size long, target double, base long, extra long")
     plan = written(plan.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).cast("int")), "plan")
     own = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("own")  # a join key without nulls

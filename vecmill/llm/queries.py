@@ -7,6 +7,10 @@ import public_tokenizers
 from .bpe_automaton import round_trip_digests
 from .dac_tokens import dac_round_trip
 from .fingerprint import fingerprint_report
+from .html_density import extract
+from .langid import identify
+from .mixing import mix
+from .quality import score_quality
 from .superminhash import near_duplicates
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,10 +32,26 @@ def op3_bpe_automaton(spark, sf_dir):
     return round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op7_superminhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_eb(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_langid(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op10_html_density(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -35,8 +35,55 @@ def byte_alphabet() -> dict[str, int]:
 letters_then_marks = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;=?@\[\]^`{}~]+)").fullmatch
 
 
+class NotCut(Exception):
+    """The text can't be cut at this space."""
+
+
+class Words(dict):
+    """ids of words after a space. Letters are kept, and what is short; other words are put together
+    from their parts. Emptied when it holds ``most`` words, which bounds memory, not what is encoded.
+    ``whole`` encodes a text that isn't cut, ``part`` one part of the pre-split, ``none`` is no ids."""
+
+    def __init__(self, whole, part, join, special, most: int):
+        super().__init__()
+        self.whole, self.part, self.join, self.special, self.most = whole, part, join, special, most
+        self.marks: dict = {}
+        self.pre_split = regex.compile(PRE_SPLIT).findall
+
+    def trim(self) -> None:
+        for cache in (self, self.marks):
+            if len(cache) > self.most:
+                cache.clear()
+
+    def _mark(self, run: str):
+        got = self.marks.get(run)
+        if got is None:
+            got = self.marks[run] = self.part(run)
+        return got
+
+    def __missing__(self, w: str):
+        if w.isalpha() and max(w) < UNSURE:
+            got = self[w] = self.part(" " + w)
+            return got
+        if (cut := letters_then_marks(w)) and (letters := cut[1]).isalpha() and max(letters) < UNSURE:
+            got = self.get(letters)
+            if got is None:
+                got = self[letters] = self.part(" " + letters)
+            got = self.join((got, self._mark(cut[2])))  # a run of marks is one part, whatever letters come before
+        elif not w or w[0].isspace() or self.special(w):
+            raise NotCut
+        elif max(w) >= UNSURE:
+            return self.whole(" " + w)
+        else:
+            parts = self.pre_split(" " + w)
+            got = self.join([self[p[1:]] if len(parts) > 1 and p[0] == " " and p[1:].isalpha() else self._mark(p) for p in parts])
+        if len(w) <= 8:
+            self[w] = got
+        return got
+
+
 class CachedEncoder:
-    """ids of texts. A cache is emptied when it holds ``most`` words, which bounds memory."""
+    """ids of texts as little-endian bytes of ``dtype``."""
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,74 +92,29 @@ class CachedEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.model = self.tok.model
+        self.tokenize = self.tok.model.tokenize
         special = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
         self.code = "H" if max(self.tok.get_vocab(with_added_tokens=True).values()) < 65536 else "I"
         self.dtype = np.dtype(self.code)
         self.to_alphabet = {b: c for c, b in byte_alphabet().items()}
-        self.pre_split = regex.compile(PRE_SPLIT).findall
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.most = most
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
+        self.words = Words(self._whole, self._part, b"".join, self.special, most)
 
     def _whole(self, text: str) -> bytes:
-        return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
-
-    def _model(self, part: str) -> bytes:
-        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.to_alphabet))
-        return self._bytes([t.id for t in tokens])
-
-    def _word(self, w: str) -> bytes | None:
-        """ids of a word after a space; None if its text can't be cut there."""
-        if not w or w[0].isspace() or self.special(w):
-            return None
-        if max(w) >= UNSURE:
-            return self._whole(" " + w)
-        out, parts = [], self.parts
-        for p in self.pre_split(" " + w):
-            key = p[1:] if p[0] == " " else p
-            cache = self.words if p[0] == " " else parts
-            got = cache.get(key)
-            if got is None:
-                got = cache[key] = self._model(p)
-            out.append(got)
-        return b"".join(out)
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.to_alphabet))]).tobytes()
 
     def encode_one(self, text: str) -> bytes:
-        """Little-endian ids, of ``dtype``."""
-        words, parts = self.words, self.parts
-        if len(words) > self.most:
-            words.clear()
-        if len(parts) > self.most:
-            parts.clear()
         first, *rest = text.split(" ")
         if first[:1].isspace() or self.special(first):
             return self._whole(text)
-        ids = list(map(words.get, rest))
-        if None in ids:
-            for i, got in enumerate(ids):
-                if got is not None:
-                    continue
-                w, mark = rest[i], b""
-                if not w.isalpha() and (cut := letters_then_marks(w)) and (w := cut[1]).isalpha():
-                    mark = parts.get(cut[2])  # a run of marks is one part, whatever letters come before
-                    if mark is None:
-                        mark = parts[cut[2]] = self._model(cut[2])
-                    got = words.get(w)
-                if got is None:
-                    if w.isalpha() and max(w) < UNSURE:
-                        got = words[w] = self._model(" " + w)
-                    else:
-                        got = self._word(rest[i])
-                        if got is None:
-                            return self._whole(text)
-                        mark = b""
-                ids[i] = got + mark
-        return (self._whole(first) if first else b"") + b"".join(ids)
+        self.words.trim()
+        try:
+            return (self._whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
+        except NotCut:
+            return self._whole(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return list(map(self.encode_one, texts))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from .bpe_automaton import round_trip_digests
+from .cover_tree import top_k
 from .dac_tokens import dac_round_trip
 from .fingerprint import fingerprint_report
 from .html_density import extract
@@ -36,6 +38,10 @@ def op5_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_cover_tree(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_superminhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 

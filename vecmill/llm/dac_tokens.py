@@ -199,9 +199,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     return written(rows.mapInArrow(write, "bucket int, seq int, path string, n_docs long, n_tokens long"), "token-manifest")
 
 
-def read_tokens(manifest: DataFrame, folder_of: str) -> DataFrame:
-    """Reads the manifest's files back: doc_id, start (ids of all documents before it),
-    n_tokens and ids (array of long would be heavy: little-endian uint32 binary)."""
+def read_tokens(manifest: DataFrame, folder_of: str, digest: bool = False) -> DataFrame:
+    """Reads the manifest's files back: doc_id, start (ids of all documents before it), n_tokens
+    and ids (little-endian uint32), or in place of ids their crc32, ids_crc32."""
     spark = manifest.sparkSession
     before = F.sum("n_tokens").over(Window.orderBy("bucket", "seq").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
     files = manifest.select("path", F.coalesce(before, F.lit(0)).alias("base")).repartition(partitions(spark), "path")
@@ -216,23 +216,12 @@ def read_tokens(manifest: DataFrame, folder_of: str) -> DataFrame:
                     end = min(at + 512, len(docs))
                     ids = codes.slice(int(starts[at]), int(starts[end]))
                     cut = (starts[at : end + 1] - starts[at]).tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs[at:end], pa.int64()), pa.array(starts[at:end] + base), pa.array(np.diff(starts[at : end + 1])), pa.array([ids[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:])], pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
+                    raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                    parts = [raw[4 * i : 4 * j] for i, j in zip(cut, cut[1:])]
+                    last = pa.array(list(map(zlib.crc32, parts)), pa.int64()) if digest else pa.array(list(map(bytes, parts)), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[at:end], pa.int64()), pa.array(starts[at:end] + base), pa.array(np.diff(starts[at : end + 1])), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def read_digests(manifest: DataFrame, folder_of: str) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids, from the files."""
-
-    def digest(batches):
-        for b in batches:
-            crc = [zlib.crc32(x.as_buffer()) for x in b["ids"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["start"], b["n_tokens"], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_tokens(manifest, folder_of).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
 def token_at(manifest: DataFrame, folder_of: str, positions: list[int]) -> dict[int, int]:
@@ -253,4 +242,4 @@ def token_at(manifest: DataFrame, folder_of: str, positions: list[int]) -> dict[
 def dac_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """op2: writes token files of all documents and reads their digests back."""
     folder = new_folder(docs.sparkSession, "tokens")
-    return read_digests(write_tokens(docs, tokenizer, folder=folder), folder)
+    return read_tokens(write_tokens(docs, tokenizer, folder=folder), folder, digest=True)

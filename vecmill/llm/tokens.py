@@ -77,7 +77,7 @@ class Words(dict):
         else:
             parts = self.pre_split(" " + w)
             got = self.join([self[p[1:]] if len(parts) > 1 and p[0] == " " and p[1:].isalpha() else self._mark(p) for p in parts])
-        if len(w) <= 8:
+        if len(w) <= 10:
             self[w] = got
         return got
 
@@ -85,7 +85,7 @@ class Words(dict):
 class CachedEncoder:
     """ids of texts as little-endian bytes of ``dtype``."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 650_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -30,6 +30,11 @@ def n_words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_hash(seed: int, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What decides which documents of a length are taken."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
 def targets(totals: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, n_docs and target. Sources in code point order, null last, have the
     weights in turn and share ``share`` times all sizes; a target stops at ``most`` times its
@@ -95,9 +100,9 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, reserve: in
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 4096, reserve: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words of the document that the mix takes)
-    and copies (how often it takes the document), a row for each document."""
+    copies (how often it takes the document) and h (row_hash), a row for each document."""
     text = F.col(text_col)
-    sizes = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h")), "sizes")
+    sizes = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(text).alias("size"), row_hash(seed, id_col, text_col).alias("h")), "sizes")
     hist = written(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     goal = targets(totals, weights, share, most)
@@ -129,4 +134,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     ranked = ranked.withColumn("extra_copy", (F.col("before") + F.col("rank") <= F.col("extra")).cast("long")).drop("before", "rank")
     out = whole.unionByName(ranked)
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("extra_copy")).otherwise(F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "h")
+
+
+def take(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them. Documents of no words have no part in a mix."""
+    plan = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **options).where("copies > 0")
+    plan = written(plan.groupBy(F.col("h").alias("__h")).agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows")), "taken")
+    keyed = docs.withColumn("__h", row_hash(seed, id_col, text_col))
+    repeated = lambda df: df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    once = repeated(keyed.join(plan.where("__rows = 1"), "__h"))
+    several = plan.where("__rows > 1")  # rows that are the same: one of them stands for all
+    if not several.limit(1).count():
+        return once
+    one = keyed.join(several, "__h", "left_semi").groupBy("__h").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(repeated(one.join(several, "__h").select("row.*", "__copies")))

@@ -105,45 +105,83 @@ def _strength(groups: DataFrame, centre: str) -> Column:
     return F.lit(float(min(max(row["base"] / row["n"] / between - 1.0, 1.0), 1e6)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, keep: float = 0.5, sample: int = 20_000, carry: dict[str, Column] | None = None, host: Column | None = None, path: Column | None = None, text_col: str = "text") -> DataFrame:
-    """The carried columns, evidence (the classifier's probability that the document is good),
-    host_rate, path_rate (posterior rates without the document), quality and kept."""
-    carry = carry or {"doc_id": F.col("doc_id")}
-    host = F.col("source") if host is None else host
-    path = F.col("lang") if path is None else path
-    key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
-    table = written(feature_table(docs, {**carry, "__id": F.col("doc_id"), "__host": key(host), "__path": key(path)}, text_col), "features")
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumnRenamed("doc_id", "__id")
-    rows = table.select("__id", "x").join(known, "__id").orderBy(F.xxhash64("__id"), "__id").limit(sample).collect()  # at most ``sample``
-    y = np.array([r["quality"] for r in rows], float)
-    if len(set(y.tolist())) < 2:
-        w = None
-        table = table.withColumn("evidence", F.lit(0.5))
-    else:
-        w, mean, scale = fit_logistic(np.array([r["x"] for r in rows]), y)
-
-        @F.pandas_udf("double")
-        def evidence(x: pd.Series) -> pd.Series:
-            z = (np.stack(x.to_numpy()) - mean) / scale if len(x) else np.zeros((0, len(mean)))
-            return pd.Series(1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -12, 12))))
-
-        table = table.withColumn("evidence", evidence("x"))
-    table = written(table.drop("x"), "evidence")
-    paths = table.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum("evidence").alias("good"))
-    paths = written(paths, "paths")
+def _key(c: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+
+
+class QualityModel:
+    """A fitted classifier (w None: nothing to learn from) and the sums of hosts and paths."""
+
+    def __init__(self, w, mean, scale, rate: float, strong_host: Column, strong_path: Column, sums: DataFrame):
+        self.w, self.mean, self.scale, self.rate = w, mean, scale, rate
+        self.strong_host, self.strong_path, self.sums = strong_host, strong_path, sums
+
+    def decide(self, table: DataFrame, keep: float) -> DataFrame:
+        """table: __host, __path, evidence and any others; adds host_rate, path_rate, quality, kept.
+        The sums have a row for each path; Spark broadcasts them only below its own threshold."""
+        own, rate = F.col("evidence"), F.lit(self.rate)
+        out = table.join(self.sums, ["__host", "__path"])
+        out = out.withColumn("host_rate", _shrunk(F.col("host_good") - own, F.col("host_n") - 1, rate, self.strong_host))
+        out = out.withColumn("path_rate", _shrunk(F.col("path_good") - own, F.col("path_n") - 1, F.col("host_rate"), self.strong_path))
+        odds = lambda p: F.log(p / (1 - p))
+        bounded = F.least(F.greatest(F.col("path_rate"), F.lit(1e-6)), F.lit(1 - 1e-6))
+        out = out.withColumn("quality", 1 / (1 + F.exp(-(odds(own) + odds(bounded) - odds(rate)))))
+        return out.withColumn("kept", F.col("quality") >= keep)
+
+
+def _evidence(x: np.ndarray, w, mean, scale) -> np.ndarray:
+    if w is None:
+        return np.full(len(x), 0.5)
+    return 1 / (1 + np.exp(-np.clip(((x - mean) / scale * w[:-1]).sum(axis=1) + w[-1], -12, 12)))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, host: Column | None = None, path: Column | None = None, text_col: str = "text") -> tuple[QualityModel, DataFrame]:
+    """The model, and the documents' table: doc_id, __host, __path, evidence."""
+    host = _key(F.col("source") if host is None else host)
+    path = _key(F.col("lang") if path is None else path)
+    table = written(feature_table(docs, {"doc_id": F.col("doc_id"), "__host": host, "__path": path}, text_col), "features")
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    rows = table.select("doc_id", "x").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).collect()  # at most ``sample``
+    y = np.array([r["label"] for r in rows], float)
+    fitted = fit_logistic(np.array([r["x"] for r in rows]), y) if len(set(y.tolist())) > 1 else (None, None, None)
+
+    def evidence(batches):
+        for b in batches:
+            x = np.asarray(b["x"].flatten()).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, len(FEATURES)))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["__host"], b["__path"], pa.array(_evidence(x, *fitted))], ["doc_id", "__host", "__path", "evidence"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    table = written(table.mapInArrow(evidence, f"doc_id {kind}, __host string, __path string, evidence double"), "evidence")
+    paths = written(table.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum("evidence").alias("good")), "paths")
     hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     whole = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     rate = float(min(max((whole["good"] or 0.0) / (whole["n"] or 1), 1e-3), 1 - 1e-3))
     strong_host = _strength(hosts.withColumn("centre", F.lit(rate)), "centre")
     hosts = hosts.select("__host", F.col("n").alias("host_n"), F.col("good").alias("host_good"), _shrunk(F.col("good"), F.col("n"), F.lit(rate), strong_host).alias("centre"))
-    paths = paths.join(hosts, "__host")
+    paths = written(paths.join(hosts, "__host"), "path-sums")
     strong_path = _strength(paths, "centre")
     sums = paths.select("__host", "__path", "host_n", "host_good", F.col("n").alias("path_n"), F.col("good").alias("path_good"))
-    out = table.join(sums, ["__host", "__path"])
-    own = F.col("evidence")
-    out = out.withColumn("host_rate", _shrunk(F.col("host_good") - own, F.col("host_n") - 1, F.lit(rate), strong_host))
-    out = out.withColumn("path_rate", _shrunk(F.col("path_good") - own, F.col("path_n") - 1, F.col("host_rate"), strong_path))
-    odds = lambda p: F.log(p / (1 - p))
-    bounded = F.least(F.greatest(F.col("path_rate"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    out = out.withColumn("quality", 1 / (1 + F.exp(-(odds(own) + odds(bounded) - odds(F.lit(rate))))))
-    return out.select(*carry, "evidence", "host_rate", "path_rate", "quality", (F.col("quality") >= keep).alias("kept"))
+    return QualityModel(*fitted, rate, strong_host, strong_path, sums), table
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, keep: float = 0.5, **options) -> DataFrame:
+    """op8: doc_id, evidence (the classifier's probability that the document is good), host_rate and
+    path_rate (posterior rates without the document), quality and kept, a row for each document."""
+    model, table = fit_quality(docs, labels, **options)
+    return model.decide(table, keep).select("doc_id", "evidence", "host_rate", "path_rate", "quality", "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, keep: float = 0.5, host: Column | None = None, path: Column | None = None, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that are kept, all columns. Reads the texts once more rather than shuffle them."""
+    model, _ = fit_quality(docs, labels, host=host, path=path, text_col=text_col, **options)
+    w, mean, scale = model.w, model.mean, model.scale
+
+    @F.pandas_udf("double")
+    def evidence(text: pd.Series) -> pd.Series:
+        x = np.array([features(t) for t in text], float).reshape(len(text), len(FEATURES))
+        return pd.Series(_evidence(x, w, mean, scale))
+
+    host = _key(F.col("source") if host is None else host)
+    path = _key(F.col("lang") if path is None else path)
+    table = docs.withColumns({"__host": host, "__path": path, "evidence": evidence(F.col(text_col))})
+    return model.decide(table, keep).where("kept").select(*[docs[c] for c in docs.columns])

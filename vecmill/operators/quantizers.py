@@ -340,3 +340,40 @@ def local_search_codes(q: Quantizer, x: np.ndarray, sweeps: int = 2) -> np.ndarr
             others = q.rotated(codes)[:, dims] - book[codes[:, g]]
             codes[:, g] = nearest(z[:, dims] - others, book)
     return codes
+
+
+def first_books(df: DataFrame, groups: Groups, bits: int, id_col: str = "vec_id", vector: str = "embedding") -> list[np.ndarray]:
+    """Codebooks of the 2**bits vectors of least id: a start that every engine can make."""
+    rows = df.where(F.col(vector).isNotNull()).orderBy(id_col).limit(1 << bits).select(F.col(vector).cast("array<double>").alias("v")).collect()
+    x = np.array([r["v"] for r in rows], np.float64)
+    return [x[:, dims].copy() for dims in groups]
+
+
+def lloyd_step(df: DataFrame, q: Quantizer, id_col: str = "vec_id", vector: str = "embedding") -> tuple[list[np.ndarray], DataFrame]:
+    """One round of k-means of all groups over all vectors, wherever they are: each Arrow batch gives sums by group and code,
+    and only these are shuffled. Returns the new codebooks (an empty cluster keeps its centroid) and group_id, code, n, error."""
+    model = q
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b["v"])
+            codes, z = model.codes(x), model.transform(x)
+            for g, (dims, book) in enumerate(zip(model.groups, model.codebooks)):
+                part, c = z[:, dims], codes[:, g]
+                used, own = np.unique(c, return_inverse=True)
+                sums = np.zeros((len(used), len(dims)))
+                np.add.at(sums, own, part)
+                error = np.zeros(len(used))
+                np.add.at(error, own, ((part - book[c]) ** 2).sum(axis=1))
+                n = np.bincount(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), g, np.int32)), pa.array(used.astype(np.int32)), pa.array(n), pa.array(error), lists(sums, pa.float64())], ["group_id", "code", "n", "error", "sums"])
+
+    part = df.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").mapInArrow(run, "group_id int, code int, n long, error double, sums array<double>")
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    table = part.groupBy("group_id", "code").agg(F.sum("n").alias("n"), F.sum("error").alias("error"), F.reduce(F.collect_list("sums"), F.array_repeat(F.lit(0.0), 0), lambda s, v: F.when(F.size(s) == 0, v).otherwise(add(s, v))).alias("sums")).persist()
+    new = [b.copy() for b in q.codebooks]
+    for r in table.collect():  # a row for each centroid
+        new[r["group_id"]][r["code"]] = np.array(r["sums"]) / r["n"]
+    return new, table.select("group_id", "code", "n", "error")

@@ -54,7 +54,6 @@ def parse_text_to_image(rows: DataFrame, task: str, named_by_caption: bool = Fal
     prompt = joined_prompt(first_present(rows, "qry_inst"), first_present(rows, "qry_text"))
     own = [text_part(prompt)] + ([media_part("image", F.col("qry_img_path"))] if query_image else [])
     z = rows.withColumn("__z", _pairs(rows))
-    name = (lambda p: F.concat(p["0"], F.lit(":"), F.trim(p["1"]))) if named_by_caption else (lambda p: p["0"])
     fields = rows.select(_pairs(rows).alias("z")).schema["z"].dataType.elementType.names
     name_of = lambda p: F.concat(p[fields[0]], F.lit(":"), F.trim(p[fields[1]])) if named_by_caption else p[fields[0]]
     z = z.withColumn("candidate_names", F.transform("__z", name_of))

@@ -21,7 +21,6 @@ extend the prefixes that have one.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -31,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import held, slices, text_batches
 from .tokens import PRE_SPLIT, NotCut, Words, byte_alphabet
 
 class MergeAutomaton:
@@ -139,7 +138,7 @@ class BpeCodec:
     without that library. Special tokens in a text become their ids. The caches are
     emptied when they hold ``most`` entries, which bounds memory, not what is encoded."""
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 450_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -179,7 +178,7 @@ class BpeCodec:
         if first[:1].isspace() or self.has_special(first):
             return self.encode_whole(text)
         self.words.trim()
-        if len(self.automaton.arcs) > 2 * self.words.most:
+        if len(self.automaton.arcs) > self.words.most:
             self.automaton.arcs.clear()
         try:
             ids = list(map(self.words.__getitem__, rest))
@@ -197,15 +196,9 @@ class BpeCodec:
         return b"".join(map(self.emitted.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, BpeCodec] = {}
-
-
 def codec(path: str) -> BpeCodec:
     """The worker's codec of this file, compiled once."""
-    if path not in _CODECS:
-        gc.disable()  # the caches hold no cycles, and to walk them costs a quarter of the time
-        _CODECS[path] = BpeCodec(path)
-    return _CODECS[path]
+    return held(f"codec {path}", lambda: BpeCodec(path))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,6 +212,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
             flat = [[int(i) for some in x for i in some.split(",")] for x in ids]
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(flat, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], [id_col, "ids", "decoded"])
 
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return src.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
@@ -238,5 +232,6 @@ def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
                 right.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(left), pa.array(right)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    text_batches(docs.sparkSession)
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

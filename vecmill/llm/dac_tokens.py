@@ -29,7 +29,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWEST, bucket_of, longs, new_folder, partitions, range_bounds, slices, written
+from .common import LOWEST, bucket_of, longs, new_folder, partitions, range_bounds, release, slices, text_batches, written
 from .tokens import encoder
 
 BLOCK = 512
@@ -157,7 +157,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     Returns the manifest (bucket, seq, path, n_docs, n_tokens), a written table. Only files
     of tasks that ended well are in it, so a lost executor leaves at most orphans."""
     spark = docs.sparkSession
+    text_batches(spark)
     folder = folder or new_folder(spark, "tokens")
+    dtype = encoder(tokenizer).dtype
     bounds = range_bounds(docs, id_col, 2 * partitions(spark))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -170,7 +172,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(bucket_of(bounds, key, tie)), b["tie"], pa.array(ids, pa.binary())], ["id", "bucket", "tie", "ids"])
 
     def write(batches):
-        enc = encoder(tokenizer)
+        release()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         kept: dict = {"bucket": None, "seq": 0, "docs": [], "ids": [], "n": 0}
@@ -190,7 +192,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 if bucket != kept["bucket"]:
                     kept.update(bucket=bucket, seq=0)
                 kept["docs"].append(doc)
-                kept["ids"].append(np.frombuffer(raw.as_py(), enc.dtype))
+                kept["ids"].append(np.frombuffer(raw.as_py(), dtype))
                 kept["n"] += len(kept["ids"][-1])
         if kept["docs"]:
             yield flush()
@@ -207,6 +209,7 @@ def read_tokens(manifest: DataFrame, folder_of: str, digest: bool = False) -> Da
     files = manifest.select("path", F.coalesce(before, F.lit(0)).alias("base")).repartition(partitions(spark), "path")
 
     def read(batches):
+        release()
         fs, _ = pafs.FileSystem.from_uri(folder_of)
         for b in batches:
             for path, base in zip(b["path"].to_pylist(), b["base"].to_pylist()):

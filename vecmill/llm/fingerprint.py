@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWEST, bucket_of, longs, partitions, range_bounds, slices
+from .common import LOWEST, bucket_of, longs, partitions, range_bounds, release, slices, text_batches
 
 WINDOW, FEWEST, LEAST_K = 7, 32, 2
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -142,6 +142,7 @@ def with_next(docs: DataFrame, pair, schema: str, id_col: str = "doc_id", text_c
     sees more than its bucket, and the text is shuffled once.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     n = 2 * partitions(spark)
     bounds = range_bounds(docs, id_col, n)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -174,6 +175,7 @@ def with_next(docs: DataFrame, pair, schema: str, id_col: str = "doc_id", text_c
     rows = spread.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "ghost", F.asc_nulls_first("id"), "tie")
 
     def run(batches):
+        release()
         held: tuple | None = None  # bucket, id, text, ghost: the row that waits for its next one
         state: dict = {}
         for b in slices(batches):

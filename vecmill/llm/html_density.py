@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import release, slices, text_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr basefont bgsound frame keygen".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -235,7 +235,10 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", columns: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """op10: the columns, text and n_chars (code points) of every page. No shuffle."""
 
+    text_batches(pages.sparkSession)
+
     def run(batches):
+        release()
         for b in slices(batches, 64):
             texts = [main_text(h) for h in b["__html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in columns), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*columns, "text", "n_chars"])

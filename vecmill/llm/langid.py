@@ -18,7 +18,6 @@ language or id are not learned from. An empty training set knows no language: ``
 
 from __future__ import annotations
 
-import gc
 import math
 import re
 import uuid
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import held, release, slices, text_batches, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PENALTY = 7.0 * math.log(10)
@@ -49,6 +48,7 @@ def count_words(train: DataFrame, most: int = 500_000) -> DataFrame:
     """Words (kind 0) of each language in whole texts, counted in tasks before they are shuffled."""
 
     def run(batches):
+        release()
         chunks: dict[str, Counter] = {}
 
         def words():
@@ -77,6 +77,7 @@ def count_grams(words: DataFrame, longest: int, most: int = 500_000) -> DataFram
     """Character n-grams (kind = length) of the counted words."""
 
     def run(batches):
+        release()
         counts: dict[tuple[str, int], Counter] = {}
         for b in slices(batches, 4096):
             for lang, word, n in zip(b["lang"].to_pylist(), b["feature"].to_pylist(), b["n"].to_pylist()):
@@ -128,8 +129,8 @@ class Model:
             return known
         padded = f" {w} "
         for size in range(self.longest, 0, -1):
-            grams = self.scores.get(size, {})
-            found = [grams[g] for g in (padded[i : i + size] for i in range(len(padded) - size + 1)) if g in grams]
+            get = self.scores.get(size, {}).get
+            found = [s for i in range(len(padded) - size + 1) if (s := get(padded[i : i + size]))]
             if found:
                 return [sum(col) / len(found) for col in zip(*found)]
         return None
@@ -149,7 +150,12 @@ class _Chunks(dict):
         self.used = 1
 
     def __missing__(self, chunk: str) -> int:
-        words = [chunk] if chunk.isalpha() else LETTERS.findall(chunk)
+        if chunk.isalpha():
+            words = [chunk]
+        else:
+            words = LETTERS.findall(chunk)
+            if len(words) == 1:  # a word and marks: as the word alone, and not kept
+                return self[words[0]]
         rows = [r for r in map(self.model.word, words) if r is not None]
         if not rows:
             self[chunk] = 0
@@ -162,11 +168,9 @@ class _Chunks(dict):
         return self.used - 1
 
 
-_CHUNKS: dict[str, _Chunks] = {}
-
-
 def train_model(docs: DataFrame, trains: Column, text_col: str = "text", lang_col: str = "lang", longest: int = 4, most_words: int = 30_000, most_grams: int = 10_000) -> Model:
     """Learns from whole texts of the rows for which ``trains`` is true and the language isn't null."""
+    text_batches(docs.sparkSession)
     train = docs.where(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     words = written(count_words(train), "words")
     grams = written(count_grams(words, longest), "grams")
@@ -175,19 +179,16 @@ def train_model(docs: DataFrame, trains: Column, text_col: str = "text", lang_co
     return Model([(r["lang"], r["kind"], r["feature"], r["n"], r["total"]) for r in sorted(rows, key=itemgetter("kind", "feature", "lang"))], totals)
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", most: int = 300_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", most: int = 500_000) -> DataFrame:
     """The named columns, lang_pred and score (the winner's share of likelihood, 0 to 1)."""
     spark = docs.sparkSession
+    text_batches(spark)
     sent = spark.sparkContext.broadcast(model)
-    number = uuid.uuid4().hex  # workers outlive models
+    number = f"languages {uuid.uuid4().hex}"  # workers outlive models
     where = docs.schema
 
     def run(batches):
-        gc.disable()
-        if number not in _CHUNKS:
-            _CHUNKS.clear()
-            _CHUNKS[number] = _Chunks(sent.value)
-        chunks = _CHUNKS[number]
+        chunks = held(number, lambda: _Chunks(sent.value))
         langs = chunks.model.langs
         for b in slices(batches):
             if len(chunks) > most:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import release, slices, text_batches, written
 
 FEATURES = ("length", "symbols", "bars", "capitals", "digits", "spaces", "high", "repeats", "same_next", "line_repeats", "word_length", "long_words", "empty")
 _KIND = np.zeros(256, np.int64)  # other
@@ -62,7 +62,10 @@ def feature_table(docs: DataFrame, columns: dict[str, Column], text_col: str = "
     src = docs.select(*(c.alias(k) for k, c in columns.items()), F.col(text_col).alias("__text"))
     names = list(columns)
 
+    text_batches(docs.sparkSession)
+
     def run(batches):
+        release()
         for b in slices(batches):
             x = pa.array([list(map(float, features(t))) for t in b["__text"].to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(b[k] for k in names), x], [*names, "x"])
@@ -178,6 +181,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = 0.5, host: Colum
 
     @F.pandas_udf("double")
     def evidence(text: pd.Series) -> pd.Series:
+        release()
         x = np.array([features(t) for t in text], float).reshape(len(text), len(FEATURES))
         return pd.Series(_evidence(x, w, mean, scale))
 

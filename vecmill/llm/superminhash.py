@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, written
+from .common import partitions, release, slices, text_batches, written
 from .components import UnionFind, components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -173,7 +173,10 @@ def set_hash(elements: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 def signatures(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     """id, n (set size), h1, h2 (the set's hash) and the hashes of the bands of every row."""
 
+    text_batches(docs.sparkSession)
+
     def run(batches):
+        release()
         for b in slices(batches, 512, 1 << 20):
             sets, at = shingle_sets(b["text"])
             bandh = band_hashes(superminhash(sets, at, bands * rows), bands)

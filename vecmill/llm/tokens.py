@@ -10,7 +10,6 @@ of Unicode may differ. Either way the ids are the library's.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 from array import array
@@ -18,6 +17,8 @@ from array import array
 import numpy as np
 import regex
 
+from .common import held
+
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: From here on a letter of one version of Unicode may not be one of another.
@@ -120,12 +121,6 @@ class CachedEncoder:
         return list(map(self.encode_one, texts))
 
 
-_ENCODERS: dict[str, CachedEncoder] = {}
-
-
 def encoder(path: str) -> CachedEncoder:
     """The worker's encoder of this file; it and its cache outlive the task."""
-    if path not in _ENCODERS:
-        gc.disable()  # the caches hold no cycles, and to walk them costs a quarter of the time
-        _ENCODERS[path] = CachedEncoder(path)
-    return _ENCODERS[path]
+    return held(f"encoder {path}", lambda: CachedEncoder(path))

@@ -1,6 +1,7 @@
 """WARC files and a Merkle fixity audit of their replicas.
 
-Records are hashed (SHA-256 of all their bytes, headers included). In each file the
+Records (gzip members of .warc.gz files) are hashed: SHA-256 of all their bytes, headers
+included. In each file the
 hashes, with the offset range that each covers, are the leaves of a tree of ``FAN``
 children a node; a node's hash is that of its children's hashes and of its range. File
 roots, in order of file name, are the leaves of the tree over files. Two replicas are
@@ -10,21 +11,21 @@ where the corruption is.
 
 A file is bounded by ``records`` and ``size`` when it is written, so a task hashes a file
 without a shuffle. A null page is an empty body, a null url an empty target; a record
-that can't be parsed ends its file's tree with a ``broken`` leaf over the rest of the
-file, so that damage to headers is found, too. Empty tables give no files and no rows.
+that can't be unpacked or parsed is a leaf ``broken``, so that damage to headers or packing is found, too. Empty tables give no files and no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, partitions, slices, written
+from .common import new_folder, partitions, release, slices, text_batches, written
 
 FAN = 16
 DATE = "2026-01-01T00:00:00Z"
@@ -37,25 +38,51 @@ def record(url: str | None, body: bytes, key: str, date: str = DATE) -> bytes:
     return head.encode() + body + b"\r\n\r\n"
 
 
-def parse(raw: bytes):
-    """(start, end, headers) of each record; headers None where the rest can't be read."""
-    at = 0
+def packed(raw: bytes) -> bytes:
+    """A record as a gzip member of its own, as in .warc.gz files."""
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return z.compress(raw) + z.flush()
+
+
+def members(raw: bytes):
+    """The records of a .warc.gz file; None for each stretch that can't be unpacked."""
+    at, view = 0, memoryview(raw)
     while at < len(raw):
-        head = raw.find(b"\r\n\r\n", at)
+        z, parts, end = zlib.decompressobj(31), [], at
         try:
-            if head < 0 or not raw.startswith(b"WARC/1.", at):
-                raise ValueError
-            lines = raw[at:head].split(b"\r\n")[1:]
-            headers = {k.strip().lower().decode(): v.strip().decode() for k, v in (x.split(b":", 1) for x in lines)}
-            length = int(headers["content-length"])
-            end = head + 4 + length + 4
-            if length < 0 or raw[end - 4 : end] != b"\r\n\r\n":
-                raise ValueError
-        except (ValueError, KeyError):
-            yield at, len(raw), None
-            return
-        yield at, end, headers
-        at = end
+            while not z.eof:
+                if end >= len(raw):
+                    raise zlib.error
+                parts.append(z.decompress(view[end : end + 16384]))
+                end += 16384
+            at = min(end, len(raw)) - len(z.unused_data)
+            yield b"".join(parts)
+        except zlib.error:
+            found = raw.find(b"\x1f\x8b\x08", at + 1)
+            at = len(raw) if found < 0 else found
+            yield None
+
+
+def parse(raw: bytes):
+    """(start, end, record bytes, headers) of each record, offsets being those of the unpacked stream.
+    Headers are None where a record can't be read; it is then empty or what could be unpacked."""
+    at = 0
+    for one in members(raw):
+        headers = None
+        if one is not None:
+            try:
+                head = one.index(b"\r\n\r\n")
+                if not one.startswith(b"WARC/1."):
+                    raise ValueError
+                lines = one[:head].split(b"\r\n")[1:]
+                headers = {k.strip().lower().decode(): v.strip().decode() for k, v in (x.split(b":", 1) for x in lines)}
+                if int(headers["content-length"]) != len(one) - head - 8:
+                    raise ValueError
+            except (ValueError, KeyError):
+                headers = None
+        one = one or b""
+        yield at, at + len(one), one, headers
+        at += len(one)
 
 
 def write_warc(pages: DataFrame, folder: str, damage=None, records: int = 1024, size: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
@@ -63,18 +90,23 @@ def write_warc(pages: DataFrame, folder: str, damage=None, records: int = 1024,
     written table. ``damage(key, bytes)`` returns what the copy holds in place of a record, and
     then each file is written twice: as it is and, in the manifest's ``copy``, damaged."""
 
+    text_batches(pages.sparkSession)
+
     def run(batches):
+        release()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         held: list[tuple[str, bytes]] = []
 
         def flush():
             name = uuid.uuid4().hex
-            paths = [f"{root}/{name}.warc", f"{root}/{name}.copy.warc"][: 2 if damage else 1]
+            paths = [f"{root}/{name}.warc.gz", f"{root}/{name}.copy.warc.gz"][: 2 if damage else 1]
+            whole = [packed(r) for _, r in held]
             for p, change in zip(paths, (None, damage)):
-                with fs.open_output_stream(p) as f:
-                    for key, r in held:
-                        f.write(change(key, r) if change else r)
+                with fs.open_output_stream(p, compression=None) as f:
+                    for (key, r), z in zip(held, whole):
+                        hurt = change(key, r) if change else r
+                        f.write(z if hurt == r else packed(hurt))
             row = [name, paths[0], paths[-1], len(held), sum(len(r) for _, r in held)]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["name", "path", "copy", "n_records", "n_bytes"])
@@ -110,9 +142,9 @@ def file_trees(files: DataFrame, folder: str, fan: int = FAN) -> DataFrame:
                     raw = f.read()
                 level, rows = 0, []
                 now = []
-                for start, end, headers in parse(raw):
+                for start, end, one, headers in parse(raw):
                     key = (headers or {}).get("warc-record-id", "broken").removeprefix("<urn:vecmill:").removesuffix(">")
-                    now.append((start, end, hashlib.sha256(raw[start:end]).hexdigest(), key))
+                    now.append((start, end, hashlib.sha256(one).hexdigest(), key))
                 while True:
                     rows += [(level, i, *x) for i, x in enumerate(now)]
                     if len(now) <= 1:

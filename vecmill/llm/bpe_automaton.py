@@ -15,8 +15,7 @@ compiled cut lists; answers are kept in a table, which grows only with the (stat
 token) pairs that texts hold.
 
 Texts are pre-split as the byte-level pre-tokenizer does. Words are encoded left to
-right: the last arc of the accepted path of each prefix is unique, so it's enough to
-extend the prefixes that have one.
+right by table look-ups: the longest arc first, back where a state leads no further.
 """
 
 from __future__ import annotations
@@ -70,14 +69,20 @@ class MergeAutomaton:
                 before, t = min(before, parts[t][2]), parts[t][1]
             self.state[w] = tuple(chain_)
         self.arcs: dict[int, bool] = {}
+        #: byte: [token that ends here, node of what may follow]
         self.root: dict[int, list] = {}
-        for token, i in vocab.items():
-            if i in parts and not self.arc(*parts[i]):
-                continue  # u then v could not be read, so the gadget has no arc
-            node = self.root
+        dead = {w for w in parts if not self.arc(*parts[w])}  # u then v could not be read, so the gadget has no arc
+        self.shorter: dict[int, int | None] = {}
+        self.length: dict[int, int] = {}
+        for token, i in sorted(vocab.items(), key=lambda t: len(t[0])):
+            if i in dead:
+                continue
+            node, last = self.root, None
             for byte in token[:-1]:
-                node = node.setdefault(byte, [None, {}])[1]
+                got = node.setdefault(byte, [None, {}])
+                last, node = got[0] if got[0] is not None else last, got[1]
             node.setdefault(token[-1], [None, {}])[0] = i
+            self.shorter[i], self.length[i] = last, len(token)
 
     def arc(self, after: int, token: int, until: int = 1 << 62) -> bool:
         """Whether the state that ``after`` leads to has an arc for ``token``, before the gadget of rank ``until``."""
@@ -89,36 +94,48 @@ class MergeAutomaton:
         return True
 
     def encode(self, word: bytes) -> list[int]:
-        """The labels of the word's accepted path."""
-        n, root, arcs = len(word), self.root, self.arcs
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            before = last[i]
-            if before < 0 and i:
-                continue
-            node, j = root, i
-            key = before << 32
-            while j < n:
-                got = node.get(word[j])
-                if got is None:
-                    break
-                j += 1
-                token, node = got
-                if token is not None and last[j] < 0:
-                    if i:
-                        there = arcs.get(key | token)
-                        if there is None:
-                            there = arcs[key | token] = self.arc(before, token)
-                        if not there:
-                            continue
-                    last[j], back[j] = token, i
-        if last[n] < 0 and n:
-            raise ValueError(f"no path for {word!r}: the vocabulary lacks one of its bytes")
-        out = []
-        while n:
-            out.append(last[n])
-            n = back[n]
-        return out[::-1]
+        """The labels of the word's accepted path: from each place the longest arc that the state has,
+        then shorter ones; a place from which none leads on is left and not come to again."""
+        n, root, arcs, length, shorter = len(word), self.root, self.arcs, self.length, self.shorter
+        path: list[int] = []
+        shut: set[int] = set()
+        at = 0
+        token = None
+        while at < n:
+            if token is None:
+                node = root
+                for byte in word[at:]:
+                    got = node.get(byte)
+                    if got is None:
+                        break
+                    if got[0] is not None:
+                        token = got[0]
+                    node = got[1]
+                if token is None:
+                    raise ValueError(f"no path for {word!r}: the vocabulary lacks one of its bytes")
+            before = path[-1] if path else -1
+            while token is not None:
+                end = at + length[token]
+                if end not in shut:
+                    if before < 0:
+                        break
+                    key = before << 32 | token
+                    there = arcs.get(key)
+                    if there is None:
+                        there = arcs[key] = self.arc(before, token)
+                    if there:
+                        break
+                token = shorter[token]
+            if token is not None:
+                path.append(token)
+                at, token = end, None
+            else:
+                if before < 0:
+                    raise ValueError(f"no path for {word!r}")
+                shut.add(at)
+                token = path.pop()
+                at -= length[token]
+        return path
 
 
 class Emitted(dict):
@@ -138,7 +155,7 @@ class BpeCodec:
     without that library. Special tokens in a text become their ids. The caches are
     emptied when they hold ``most`` entries, which bounds memory, not what is encoded."""
 
-    def __init__(self, path: str, most: int = 450_000):
+    def __init__(self, path: str, most: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]

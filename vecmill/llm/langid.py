@@ -22,7 +22,6 @@ import math
 import re
 import uuid
 from collections import Counter
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ def _flush(counts: dict[tuple[str, int], Counter]):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([kind] * len(part), pa.int32()), pa.array([k for k, _ in part]), pa.array([n for _, n in part], pa.int64())], ["lang", "kind", "feature", "n"])
 
 
-def count_words(train: DataFrame, most: int = 500_000) -> DataFrame:
+def count_words(train: DataFrame, most: int = 200_000) -> DataFrame:
     """Words (kind 0) of each language in whole texts, counted in tasks before they are shuffled."""
 
     def run(batches):
@@ -73,7 +72,7 @@ def count_words(train: DataFrame, most: int = 500_000) -> DataFrame:
     return train.mapInArrow(run, COUNTED).groupBy("lang", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
-def count_grams(words: DataFrame, longest: int, most: int = 500_000) -> DataFrame:
+def count_grams(words: DataFrame, longest: int, most: int = 200_000) -> DataFrame:
     """Character n-grams (kind = length) of the counted words."""
 
     def run(batches):
@@ -119,7 +118,7 @@ class Model:
         self.share = totals[self.prior] / sum(totals.values()) if self.langs else 0.0
         self.scores: dict[int, dict[str, list[float]]] = {}
         for lang, kind, feature, n, total in rows:
-            row = self.scores.setdefault(kind, {}).setdefault(feature, [PENALTY] * len(self.langs))
+            row = self.scores.setdefault(int(kind), {}).setdefault(feature, [PENALTY] * len(self.langs))
             row[where[lang]] = min(PENALTY, -math.log(n / total))
         self.longest = max(self.scores, default=0)
 
@@ -168,18 +167,19 @@ class _Chunks(dict):
         return self.used - 1
 
 
-def train_model(docs: DataFrame, trains: Column, text_col: str = "text", lang_col: str = "lang", longest: int = 4, most_words: int = 30_000, most_grams: int = 10_000) -> Model:
+def train_model(docs: DataFrame, trains: Column, text_col: str = "text", lang_col: str = "lang", longest: int = 4, most_words: int = 25_000, most_grams: int = 10_000) -> Model:
     """Learns from whole texts of the rows for which ``trains`` is true and the language isn't null."""
     text_batches(docs.sparkSession)
     train = docs.where(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     words = written(count_words(train), "words")
     grams = written(count_grams(words, longest), "grams")
-    rows = keep_frequent(words.unionByName(grams), most_words, most_grams).collect()  # bounded by the parameters and languages
+    kept = keep_frequent(words.unionByName(grams), most_words, most_grams).toPandas()  # bounded by the parameters and languages
+    rows = kept.sort_values(["kind", "feature", "lang"])[["lang", "kind", "feature", "n", "total"]].itertuples(index=False, name=None)
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    return Model([(r["lang"], r["kind"], r["feature"], r["n"], r["total"]) for r in sorted(rows, key=itemgetter("kind", "feature", "lang"))], totals)
+    return Model(rows, totals)
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", most: int = 500_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", most: int = 250_000) -> DataFrame:
     """The named columns, lang_pred and score (the winner's share of likelihood, 0 to 1)."""
     spark = docs.sparkSession
     text_batches(spark)

@@ -187,5 +187,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = 0.5, host: Colum
 
     host = _key(F.col("source") if host is None else host)
     path = _key(F.col("lang") if path is None else path)
-    table = docs.withColumns({"__host": host, "__path": path, "evidence": evidence(F.col(text_col))})
-    return model.decide(table, keep).where("kept").select(*[docs[c] for c in docs.columns])
+    table = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), host.alias("__host"), path.alias("__path"), evidence(F.col(text_col)).alias("evidence"))
+    return model.decide(table, keep).where("kept").select("__row.*")

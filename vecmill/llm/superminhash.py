@@ -189,7 +189,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: st
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, most_broadcast: int = 1_000_000) -> DataFrame:
-    """cls, set (binary of sorted uint64): the full sets of the wanted (id, n, h1, h2) classes.
+    """id, h1, set (binary of sorted uint64): the full sets of the wanted (id, n, h1, h2) classes.
     The wanted ids are broadcast only where there are at most a million of them (8 MB)."""
     ids = wanted.select(F.col("id"))
     side = F.broadcast(ids) if wanted.count() <= most_broadcast else ids
@@ -202,7 +202,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, most
             cut = at.tolist()
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(h1), pa.array(h2), pa.array([sets[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], ["id", "h1", "h2", "set"])
 
-    return src.mapInArrow(run, "id long, h1 long, h2 long, set binary").join(wanted.select("id", "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("id", "set")
+    return src.mapInArrow(run, "id long, h1 long, h2 long, set binary").join(wanted.select("id", "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("id", "h1", "set")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -213,24 +213,25 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int, group: int = 500) -> DataFrame:
-    """The pairs (u, v) that are links. Pairs of one u are dealt over groups of about
-    ``group``; u's set goes to each group once and v's sets stream past it."""
-    counted = pairs.groupBy("u").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
-    dealt = pairs.join(counted, "u").withColumn("g", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int"))
-    hubs = counted.select("u", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g")).join(sets.withColumnRenamed("id", "u"), "u").select("u", "g", F.lit(None).cast("long").alias("v"), "set")
-    spokes = dealt.select("u", "g", "v").join(sets.withColumnRenamed("id", "v"), "v").select("u", "g", "v", "set")
+    """The pairs (u, uh, v, vh: ids and set hashes) that are links, as u, v. Pairs of one u are dealt over
+    groups of about ``group``; u's set goes to each group once and v's sets stream past it. An id alone
+    doesn't name a set where rows repeat it."""
+    counted = pairs.groupBy("u", "uh").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
+    dealt = pairs.join(counted, ["u", "uh"]).withColumn("g", F.pmod(F.xxhash64("v", "vh"), F.col("groups")).cast("int"))
+    hubs = counted.select("u", "uh", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g")).join(sets.withColumnsRenamed({"id": "u", "h1": "uh"}), ["u", "uh"]).select("u", "uh", "g", F.lit(None).cast("long").alias("v"), "set")
+    spokes = dealt.select("u", "uh", "g", "v", "vh").join(sets.withColumnsRenamed({"id": "v", "h1": "vh"}), ["v", "vh"]).select("u", "uh", "g", "v", "set")
     n = partitions(pairs.sparkSession)
-    rows = hubs.union(spokes).repartition(n, "u", "g").sortWithinPartitions("u", "g", F.asc_nulls_first("v"))
+    rows = hubs.union(spokes).repartition(n, "u", "uh", "g").sortWithinPartitions("u", "uh", "g", F.asc_nulls_first("v"))
 
     def run(batches):
         hub, own = None, None
         for b in slices(batches, 256):
             us, vs = [], []
-            for u, g, v, s in zip(b["u"].to_pylist(), b["g"].to_pylist(), b["v"].to_pylist(), b["set"]):
+            for u, uh, g, v, s in zip(b["u"].to_pylist(), b["uh"].to_pylist(), b["g"].to_pylist(), b["v"].to_pylist(), b["set"]):
                 a = np.frombuffer(s.as_buffer(), np.uint64)
                 if v is None:
-                    hub, own = (u, g), a.copy()
-                elif hub == (u, g) and _linked(own, a, percent):
+                    hub, own = (u, uh, g), a.copy()
+                elif hub == (u, uh, g) and _linked(own, a, percent):
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
@@ -239,15 +240,15 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, group: int = 500) -
 
 
 def confirm_blocks(members: DataFrame, sets: DataFrame, percent: int, block: int = 128) -> DataFrame:
-    """Links between bucket members (key, id, component, n) of different components. A bucket is cut
+    """Links between bucket members (key, id, h1, component) of different components. A bucket is cut
     into blocks of about ``block`` members; each pair of blocks is one group of at most about
     2 * block sets, whose pairs are compared where they lie and joined by union-find: only
     links that tie components together come out, never all pairs."""
     counted = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    m = members.join(counted, "key").withColumn("b", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    m = members.join(counted, "key").withColumn("b", F.pmod(F.xxhash64("id", "h1", "key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = m.withColumn("o", other).select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "id", "component", "b")
-    rows = spread.join(sets, "id")
+    spread = m.withColumn("o", other).select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "id", "h1", "component", "b")
+    rows = spread.join(sets, ["id", "h1"])
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, b = (table[c].to_pylist() for c in ("id", "component", "b"))
@@ -278,18 +279,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 20, rows: i
     # One class for each different set; all rows of a class have the same n and bands.
     classes = written(full.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     same = full.select("h1", "h2", F.col("id").alias("u")).join(classes.select("h1", "h2", F.col("id").alias("v")), ["h1", "h2"]).where("u <> v").select("u", "v")
-    keyed = classes.select("id", "n", F.explode("bands").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    crowd = written(keyed.join(leaders, "key").select("key", "id", "n", "leader", "size"), "buckets")
-    pairs = crowd.where("id <> leader").select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct()
-    wanted = classes.join(crowd.select("id").distinct(), "id", "left_semi").select("id", "n", "h1", "h2")
+    keyed = classes.select("id", "h1", F.explode("bands").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min(F.struct("id", "h1")).alias("leader"), F.count("*").alias("size")).where("size > 1")
+    crowd = written(keyed.join(leaders, "key").select("key", "id", "h1", F.col("leader.id").alias("u"), F.col("leader.h1").alias("uh"), "size"), "buckets")
+    pairs = crowd.where("id <> u or h1 <> uh").select("u", "uh", F.col("id").alias("v"), F.col("h1").alias("vh")).distinct()
+    wanted = classes.join(crowd.select("id", "h1").distinct(), ["id", "h1"], "left_semi").select("id", "n", "h1", "h2")
     sets = written(sets_of(docs, wanted, id_col, text_col), "sets")
     links = written(confirm(pairs, sets, percent), "links")
     edges = same.union(links)
     found = written(components(edges), "components")
     # Buckets whose members are not of one component yet: compare what the leader did not settle.
-    wide = crowd.where("size > 2").select("key", "id")
-    placed = wide.join(found, wide.id == found.node, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    wide = crowd.where("size > 2").select("key", "id", "h1")
+    placed = wide.join(found, wide.id == found.node, "left").select("key", "id", "h1", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     rest = written(confirm_blocks(placed.join(split, "key", "left_semi"), sets, percent), "more-links")
     if rest.limit(1).count():

@@ -37,7 +37,8 @@ def exact(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     most = (np.abs(q).max(initial=0.0) * np.abs(d).max(initial=0.0)) * max(1, q.shape[1])
     if most < 2.0**53:
         return (q @ d.T).astype(np.int64)
-    big = q.astype(object).dot(d.T.astype(object)) if q.size and d.size else np.zeros((len(q), len(d)), object)
+    whole = np.vectorize(int, otypes=[object])
+    big = whole(q).dot(whole(d.T)) if q.size and d.size else np.zeros((len(q), len(d)), object)
     return np.vectorize(lambda x: max(-LONG - 1, min(LONG, int(x))), otypes=[np.int64])(big)
 
 

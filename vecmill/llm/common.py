@@ -67,15 +67,16 @@ def held(name: str, make):
 
 
 def release() -> None:
-    """Frees the caches that another operator left in this worker."""
+    """Frees the caches that another operator left in this worker, and what its allocators kept."""
     if _HELD:
         _HELD.clear()
         gc.enable()
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 LOWEST = -(2**63)

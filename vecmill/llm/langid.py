@@ -109,45 +109,57 @@ def keep_frequent(counts: DataFrame, most_words: int, most_grams: int) -> DataFr
 
 
 class Model:
-    """scores[kind][feature]: a penalty for each language, lower is likelier."""
+    """rows[kind][feature] is a row of matrix: a penalty for each language, lower is likelier."""
 
-    def __init__(self, rows: list, totals: dict[str, int]):
+    def __init__(self, rows, totals: dict[str, int]):
         self.langs = sorted(totals)
         where = {lang: i for i, lang in enumerate(self.langs)}
         self.prior = max(self.langs, key=lambda x: (totals[x], x)) if self.langs else None
         self.share = totals[self.prior] / sum(totals.values()) if self.langs else 0.0
-        self.scores: dict[int, dict[str, list[float]]] = {}
+        self.rows: dict[int, dict[str, int]] = {}
+        cells, used = [], 0
         for lang, kind, feature, n, total in rows:
-            row = self.scores.setdefault(int(kind), {}).setdefault(feature, [PENALTY] * len(self.langs))
-            row[where[lang]] = min(PENALTY, -math.log(n / total))
-        self.longest = max(self.scores, default=0)
-
-    def word(self, w: str) -> list[float] | None:
-        known = self.scores.get(0, {}).get(w)
+            of = self.rows.setdefault(int(kind), {})
+            if feature not in of:
+                of[feature] = used
+                used += 1
+            cells.append((of[feature], where[lang], min(PENALTY, -math.log(n / total))))
+        self.matrix = np.full((used, len(self.langs)), PENALTY)
+        for r, c, score in cells:
+            self.matrix[r, c] = score
+        self.longest = max(self.rows, default=0)
+
+    def word(self, w: str) -> np.ndarray | None:
+        known = self.rows.get(0, {}).get(w)
         if known is not None:
-            return known
+            return self.matrix[known]
         padded = f" {w} "
         for size in range(self.longest, 0, -1):
-            get = self.scores.get(size, {}).get
-            found = [s for i in range(len(padded) - size + 1) if (s := get(padded[i : i + size]))]
+            get = self.rows.get(size, {}).get
+            found = [r for i in range(len(padded) - size + 1) if (r := get(padded[i : i + size])) is not None]
             if found:
-                return [sum(col) / len(found) for col in zip(*found)]
+                return self.matrix[found].sum(axis=0) / len(found)
         return None
 
 
 class _Chunks(dict):
     """Row number of the scores of what lies between white space; row 0 scores nothing."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, most: int):
         super().__init__()
-        self.model = model
+        self.model, self.most = model, most
+        self.table = np.zeros((most + 20_000, len(model.langs)), np.float32)
         self.start()
 
     def start(self):
         self.clear()
-        self.table = np.zeros((1024, len(self.model.langs)))
+        self.table[:] = 0
         self.used = 1
 
+    def grow(self):
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table[:20_000])])
+
     def __missing__(self, chunk: str) -> int:
         if chunk.isalpha():
             words = [chunk]
@@ -159,9 +171,8 @@ class _Chunks(dict):
         if not rows:
             self[chunk] = 0
             return 0
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used] = np.sum(rows, axis=0)
+        self.grow()
+        self.table[self.used] = rows[0] if len(rows) == 1 else np.sum(rows, axis=0)
         self[chunk] = self.used
         self.used += 1
         return self.used - 1
@@ -179,7 +190,7 @@ def train_model(docs: DataFrame, trains: Column, text_col: str = "text", lang_co
     return Model(rows, totals)
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", most: int = 250_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", most: int = 150_000) -> DataFrame:
     """The named columns, lang_pred and score (the winner's share of likelihood, 0 to 1)."""
     spark = docs.sparkSession
     text_batches(spark)
@@ -188,7 +199,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "
     where = docs.schema
 
     def run(batches):
-        chunks = held(number, lambda: _Chunks(sent.value))
+        chunks = held(number, lambda: _Chunks(sent.value, most))
         langs = chunks.model.langs
         for b in slices(batches):
             if len(chunks) > most:
@@ -204,7 +215,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "
                     names.append(chunks.model.prior)
                     scores.append(chunks.model.share)
                     continue
-                s = chunks.table[rows].sum(axis=0)
+                s = chunks.table[rows].sum(axis=0, dtype=np.float64)
                 best = int(s.argmin())
                 names.append(langs[best])
                 scores.append(float(1.0 / np.exp(np.minimum(s[best] - s, 0.0)).sum()))

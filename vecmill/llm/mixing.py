@@ -17,7 +17,7 @@ that repeat a doc_id are documents of their own. An empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,18 +107,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     goal = targets(totals, weights, share, most)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(t: pa.Table) -> pa.Table:
         """A source's lengths: as many rows as it has different lengths."""
-        size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
+        t = t.sort_by("size")
+        size, target = t["source_size"][0].as_py(), t["target"][0].as_py()
         base = int(target // size) if size else 0
-        pdf = pdf.sort_values("size")
-        pdf["base"] = base
-        pdf["extra"] = fit_budget(pdf["size"].to_numpy(), pdf["n"].to_numpy(), int(round(target)) - base * size, reserve)
-        return pdf[["source", "size", "n", "source_size", "target", "base", "extra"]]
+        extra = fit_budget(t["size"].to_numpy(), t["n"].to_numpy(), int(round(target)) - base * size, reserve)
+        return t.append_column("base", pa.array(np.full(len(t), base))).append_column("extra", pa.array(extra))
 
     goal = goal.select(F.col("source").alias("of"), "source_size", "target")
     joined = hist.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    plan = joined.groupBy("source").applyInPandas(fit, "source string, size long, n long, source_size long, target double, base long, extra long")
+    joined = joined.select("source", "size", "n", "source_size", "target")
+    plan = joined.groupBy("source").applyInArrow(fit, "source string, size long, n long, source_size long, target double, base long, extra long")
     plan = written(plan.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).cast("int")), "plan")
     own = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("own")  # a join key without nulls
     rows = sizes.withColumn("own", own).join(plan.select(own, "size", "source_size", "target", "base", "extra", "n", "buckets"), ["own", "size"])

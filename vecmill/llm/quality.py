@@ -20,7 +20,6 @@ from __future__ import annotations
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,11 +178,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = 0.5, host: Colum
     model, _ = fit_quality(docs, labels, host=host, path=path, text_col=text_col, **options)
     w, mean, scale = model.w, model.mean, model.scale
 
-    @F.pandas_udf("double")
-    def evidence(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def evidence(text: pa.Array) -> pa.Array:
         release()
-        x = np.array([features(t) for t in text], float).reshape(len(text), len(FEATURES))
-        return pd.Series(_evidence(x, w, mean, scale))
+        x = np.array([features(t.as_py()) for t in text], float).reshape(len(text), len(FEATURES))
+        return pa.array(_evidence(x, w, mean, scale))
 
     host = _key(F.col("source") if host is None else host)
     path = _key(F.col("lang") if path is None else path)

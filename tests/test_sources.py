@@ -109,3 +109,27 @@ def test_structure_files(tmp_path):
     assert artifacts.find_structure("structure_d3_b4_grow", (str(tmp_path),)) == p
     with pytest.raises(ValueError):
         artifacts.load_structure(p, 4, 4)
+
+
+def test_charts():
+    from xml.etree import ElementTree
+
+    from vecmill.report import svg
+
+    bar = ElementTree.fromstring(svg.group_bar([(0, 3, 8, 0.5), (1, 5, 4, 0.5)], "a < b"))
+    assert len([e for e in bar if e.tag.endswith("rect")]) == 2 and svg.scale([2.0, 2.0]) == [0.5, 0.5]
+    chart = ElementTree.fromstring(svg.scatter([(0, 1, "x"), (2, 3, "y")], {"slope": 1.0, "intercept": 1.0, "r2": 1.0}))
+    assert len([e for e in chart if e.tag.endswith("circle")]) == 2
+
+
+def test_command_lines(spark, tmp_path, monkeypatch, capsys):
+    from vecmill.cli import bench, retrieval
+
+    monkeypatch.setattr(bench, "build_session", lambda *a: spark)
+    monkeypatch.setattr(retrieval, "build_session", lambda *a: spark)
+    rows = bench.main(["/root/testdata/sf0.01/embeddings.parquet", "32", "pq", "uneven", "--stages", "none", "--most-bits", "8", "--top", "20", "--group-stats"])
+    assert [r["model"] for r in rows] == ["pq", "uneven"] and all(0 < r["overlap@20"] <= 1 for r in rows)
+    m = tmp_path / "task.jsonl"
+    m.write_text("".join('{"query_id":"q%d","query_parts":[{"kind":"text","value":"%d"}],"labels":["c%d"],"candidates":[{"name":"c%d","parts":[{"kind":"text","value":"c%d"}]}]}\n' % (i, i, i, i, i) for i in range(6)))
+    retrieval.main([str(m), "--train-pool", "--top", "3", "--k", "1", "6"])
+    assert '"recall": 1.0' in capsys.readouterr().out

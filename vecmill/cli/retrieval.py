@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--backend", choices=BACKENDS, default="exact")
     p.add_argument("--bits", type=int, default=64)
     p.add_argument("--dim", type=int, default=64)
-    p.add_argument("--k", type=int, nargs="+", default=[1, 5, 10])
+    p.add_argument("--k", nargs="+", type=int, default=list(retrieval.KS))
     p.add_argument("--top", type=int, default=10)
     p.add_argument("--limit", type=int)
     p.add_argument("--train-pool", action="store_true", help="train on the distinct corpora of all tasks")

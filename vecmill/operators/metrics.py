@@ -25,7 +25,7 @@ def overlap_at(result: DataFrame, truth: DataFrame, k: int, most: int | None = N
     return width.join(hits, "qid", "left").agg(F.lit(k).alias("k"), F.avg(share).alias("overlap"))
 
 
-def ranking_metrics(result: DataFrame, labels: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+def ranking_metrics(result: DataFrame, labels: DataFrame, ks=(1, 5, 10)) -> DataFrame:
     """k, queries, hit, precision, recall, mrr: means over the queries that have labels. result: qid, rank,
     item; labels: qid, item (repeats count once). Precision divides by k however few results there are."""
     labels = labels.select("qid", "item").distinct()

@@ -25,11 +25,12 @@ def check_partition(groups: Groups, d: int, partial: bool = False) -> None:
     flat = [i for g in groups for i in g]
     if not groups or any(not g for g in groups):
         raise ValueError("a group is empty")
-    if len(set(flat)) != len(flat):
+    seen = set(flat)
+    if len(flat) > len(seen):
         raise ValueError("a place is in two groups")
-    if any(not 0 <= i < d for i in flat):
+    if seen - set(range(d)):
         raise ValueError("a place is out of range")
-    if not partial and len(flat) != d:
+    if not partial and len(seen) < d:
         raise ValueError("a place is in no group")
 
 

@@ -16,6 +16,8 @@ from .search import VectorIndex
 
 PART = "struct<kind:string,value:string,mime_type:string>"
 
+KS = (1, 5, 10)
+
 
 def text_part(value: Column) -> Column:
     return F.struct(F.lit("text").alias("kind"), value.cast("string").alias("value"), F.lit(None).cast("string").alias("mime_type"))
@@ -223,7 +225,7 @@ def distinct_corpus(tasks: list[DataFrame]) -> DataFrame:
     return every.groupBy("signature").agg(F.min_by(F.struct("name", "parts"), F.struct("task", "name")).alias("r")).select("signature", "r.name", "r.parts")
 
 
-def run_benchmark(queries: DataFrame, corpus: DataFrame, embedder: Embedder, index: VectorIndex, train: DataFrame | None = None, ks: tuple[int, ...] = (1, 5, 10), top: int = 10) -> tuple[DataFrame, DataFrame]:
+def run_benchmark(queries: DataFrame, corpus: DataFrame, embedder: Embedder, index: VectorIndex, train: DataFrame | None = None, ks: tuple[int, ...] = KS, top: int = 10) -> tuple[DataFrame, DataFrame]:
     """Embeds the corpus, fits and fills the index, drops queries without an available label, ranks over the whole corpus. Returns
     metrics (k, queries, hit, precision, recall, mrr, and counts of what was kept) and rankings (query_id, labels, prediction, scores)."""
     numbered = corpus.select("name", "parts", F.xxhash64("name").alias("vec_id"))

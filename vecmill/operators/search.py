@@ -143,6 +143,7 @@ class VectorIndex:
             return exact_top_k(self.base, queries, k, "dot" if mode == "dot" else "l2")
         if self.model is None or self.codes is None:
             raise ValueError("train and add come first")
-        if mode not in ("adc", "sdc"):
+        by_mode = {"adc": adc_top_k, "sdc": sdc_top_k}
+        if mode not in by_mode:
             raise ValueError(f"no such mode: {mode}")
-        return (adc_top_k if mode == "adc" else sdc_top_k)(self.model, self.codes, queries, k)
+        return by_mode[mode](self.model, self.codes, queries, k)

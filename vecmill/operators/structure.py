@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from collections import deque
 from dataclasses import dataclass, field
@@ -50,7 +51,7 @@ class HoldoutCost:
         self.sent = None
 
     def key(self, dims, bits: int):
-        return tuple(sorted(int(i) for i in dims)), int(bits)
+        return tuple(sorted(map(int, dims))), int(bits)
 
     def need(self, keys) -> None:
         missing = sorted({self.key(*k) for k in keys} - self.known.keys())
@@ -136,11 +137,11 @@ def even_groups(d: int, total: int, bits: int = 8) -> tuple[Groups, list[int]]:
 
 def neighbour_lists(x: np.ndarray, k: int = 16, least: float = 0.0, rows: int = 4096, seed: int = 0) -> list[list[tuple[int, float]]]:
     """For each place the others of highest absolute correlation on at most ``rows`` rows."""
-    n, d = x.shape
-    if d <= 1:
-        return [[] for _ in range(d)]
-    if n > rows:
-        x = x[np.random.default_rng(seed).permutation(n)[:rows]]
+    d = x.shape[1]
+    if d < 2:
+        return [[]] * d
+    if len(x) > rows:
+        x = x[np.random.default_rng(seed).permutation(len(x))[:rows]]
     if len(x) <= 1:
         return [[(j, 0.0) for j in range(d) if j != i][:k] for i in range(d)]
     z = (x - x.mean(0)) / np.maximum(x.std(0), 1e-6)
@@ -384,7 +385,7 @@ STAGES = ("grow", "merge", "moves")
 
 def parse_stages(text: str) -> tuple[str, ...]:
     """Names joined by commas or +, in their order; ``full`` for all, ``none`` for none."""
-    words = [w for w in text.lower().replace("+", ",").split(",") if w]
+    words = re.findall(r"[a-z]+", text.lower())
     if words in (["full"], ["all"]):
         return STAGES
     if words == ["none"]:

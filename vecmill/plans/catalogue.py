@@ -230,7 +230,7 @@ def balanced_groups(spark, sf):
 
 
 @query("SELECT CAST(range AS INTEGER) AS group_id, CAST(16 AS INTEGER) AS ndims, CAST(CASE WHEN range = 3 THEN 11 ELSE 8 END AS INTEGER) AS nbits FROM range(4)")
-def default_grouper(spark, sf):
+def even_groups(spark, sf):
     groups, bits = structure.even_groups(64, 35)
     return spark.createDataFrame([(g, len(d), b) for g, (d, b) in enumerate(zip(groups, bits))], "group_id int, ndims int, nbits int")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html import escape
+import xml.etree.ElementTree as Tree
 
 
 def scale(values: list[float], low: float | None = None, high: float | None = None) -> list[float]:
@@ -13,28 +13,43 @@ def scale(values: list[float], low: float | None = None, high: float | None = No
 
 def colour(t: float) -> str:
     """From blue to red."""
-    return f"rgb({round(40 + 200 * t)},{round(90 + 60 * (1 - abs(2 * t - 1)))},{round(220 - 180 * t)})"
+    return "#%02x%02x%02x" % (round(40 + 200 * t), round(90 + 60 * (1 - abs(2 * t - 1))), round(220 - 180 * t))
+
+
+def _add(to: Tree.Element, tag: str, text: str | None = None, **attributes) -> Tree.Element:
+    made = Tree.SubElement(to, tag, {k.replace("_", "-"): str(round(v, 2)) if isinstance(v, float) else str(v) for k, v in attributes.items()})
+    made.text = text
+    return made
+
+
+def _picture(width: int, height: int) -> Tree.Element:
+    return Tree.Element("svg", {"xmlns": "http://www.w3.org/2000/svg", "width": str(width), "height": str(height)})
 
 
 def group_bar(rows: list[tuple[int, int, int, float]], title: str, width: int = 800, height: int = 90) -> str:
     """One bar, a segment for each group (group_id, ndims, bits, cost) as wide as its places, coloured by cost."""
-    total, x, parts = sum(r[1] for r in rows), 10.0, []
+    svg = _picture(width, height)
+    _add(svg, "text", title, x=10, y=20, font_size=13)
+    total, at = sum(r[1] for r in rows), 10.0
     for (g, dims, bits, cost), t in zip(rows, scale([r[3] for r in rows])):
-        w = (width - 20) * dims / total
-        parts.append(f'<rect x="{x:.2f}" y="30" width="{w:.2f}" height="40" fill="{colour(t)}" stroke="white"><title>group {g}: {dims} places, {bits} bits, {cost:g}</title></rect>')
-        if w > 14:
-            parts.append(f'<text x="{x + w / 2:.2f}" y="54" font-size="11" text-anchor="middle" fill="white">{bits}</text>')
-        x += w
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="10" y="20" font-size="13">{escape(title)}</text>{"".join(parts)}</svg>'
-
-
-def scatter(points: list[tuple[float, float, str]], slope: float, intercept: float, r2: float, width: int = 480, height: int = 360) -> str:
-    """Points (x, y, label) and a fitted line."""
-    pad = 40
+        wide = (width - 20) * dims / total
+        segment = _add(svg, "rect", x=at, y=30, width=wide, height=40, stroke="white", fill=colour(t))
+        _add(segment, "title", f"group {g}: {dims} places, {bits} bits, {cost:g}")
+        if wide > 14:
+            _add(svg, "text", str(bits), x=at + wide / 2, y=54, fill="white", font_size=11, text_anchor="middle")
+        at += wide
+    return Tree.tostring(svg, encoding="unicode")
+
+
+def scatter(points: list[tuple[float, float, str]], line: dict[str, float], width: int = 480, height: int = 360) -> str:
+    """Points (x, y, label) and the line of ``metrics.ols`` (slope, intercept, r2)."""
+    svg, pad = _picture(width, height), 40
     xs, ys = [p[0] for p in points], [p[1] for p in points]
-    at_x = lambda v: pad + (width - 2 * pad) * scale([v], min(xs), max(xs))[0]
-    at_y = lambda v: height - pad - (height - 2 * pad) * scale([v], min(ys), max(ys))[0]
-    dots = "".join(f'<circle cx="{at_x(x):.1f}" cy="{at_y(y):.1f}" r="4" fill="steelblue"><title>{escape(n)}: {x:g}, {y:g}</title></circle>' for x, y, n in points)
-    ends = [(v, slope * v + intercept) for v in (min(xs), max(xs))]
-    line = f'<line x1="{at_x(ends[0][0]):.1f}" y1="{at_y(ends[0][1]):.1f}" x2="{at_x(ends[1][0]):.1f}" y2="{at_y(ends[1][1]):.1f}" stroke="crimson"/>'
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{dots}{line}<text x="{pad}" y="20" font-size="12">R2 = {r2:.3f}</text></svg>'
+    place = lambda x, y: (pad + (width - 2 * pad) * scale([x], min(xs), max(xs))[0], height - pad - (height - 2 * pad) * scale([y], min(ys), max(ys))[0])
+    for x, y, name in points:
+        cx, cy = place(x, y)
+        _add(_add(svg, "circle", cx=cx, cy=cy, r=4, fill="steelblue"), "title", f"{name}: {x:g}, {y:g}")
+    (x1, y1), (x2, y2) = (place(v, line["slope"] * v + line["intercept"]) for v in (min(xs), max(xs)))
+    _add(svg, "line", x1=x1, x2=x2, y1=y1, y2=y2, stroke="crimson")
+    _add(svg, "text", f"R2 = {line['r2']:.3f}", x=pad, y=20, font_size=12)
+    return Tree.tostring(svg, encoding="unicode")

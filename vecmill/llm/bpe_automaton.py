@@ -36,62 +36,60 @@ class MergeAutomaton:
     """The compiled automaton of a vocabulary (token bytes to id) and ranked merges."""
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
-        self.label = {i: t for t, i in vocab.items()}
-        never = len(merges)
-        parts: dict[int, tuple[int, int, int]] = {}  # token: left, right, rank of its gadget
+        size = max(vocab.values()) + 1
+        self.label: list[bytes | None] = [None] * size
+        #: left and right part of a token, and the rank of its gadget
+        self.parts: list[tuple[int, int, int] | None] = [None] * size
         #: cuts[u][v]: rank of the gadget that cut the arc v from the state of u
-        cuts: dict[int, dict[int, int]] = {}
+        self.cuts: list[dict[int, int] | None] = [None] * size
         for rank, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            own = cuts.setdefault(u, {})
-            if v not in own:
-                own[v] = rank
-            if w not in parts:
-                parts[w] = (u, v, rank)
-        # The left spine of w: the tokens whose arcs w's arc came from, with the rank when it was taken.
-        self.left: dict[int, tuple[tuple[int, int], ...]] = {}
-        # The state of w is the one its right part led to before w's gadget: cuts of later rank aren't in it.
-        self.state: dict[int, tuple[tuple[dict[int, int], int], ...]] = {}
-        for w in vocab.values():
-            spine, t, before = [], w, never
-            while True:
-                spine.append((t, before))
-                if t not in parts:
-                    break
-                t, before = parts[t][0], parts[t][2]
-            self.left[w] = tuple(spine)
-            chain_, t, before = [], w, never
-            while True:
-                if t in cuts:
-                    chain_.append((cuts[t], before))
-                if t not in parts:
-                    break
-                before, t = min(before, parts[t][2]), parts[t][1]
-            self.state[w] = tuple(chain_)
+            if self.cuts[u] is None:
+                self.cuts[u] = {}
+            self.cuts[u].setdefault(v, rank)
+            if self.parts[w] is None:
+                self.parts[w] = (u, v, rank)
         self.arcs: dict[int, bool] = {}
         #: byte: [token that ends here, node of what may follow]
         self.root: dict[int, list] = {}
-        dead = {w for w in parts if not self.arc(*parts[w])}  # u then v could not be read, so the gadget has no arc
-        self.shorter: dict[int, int | None] = {}
-        self.length: dict[int, int] = {}
+        self.shorter: list[int | None] = [None] * size
+        self.length = [0] * size
         for token, i in sorted(vocab.items(), key=lambda t: len(t[0])):
-            if i in dead:
-                continue
+            self.label[i], self.length[i] = token, len(token)
+            if self.parts[i] is not None and not self.arc(*self.parts[i]):
+                continue  # u then v could not be read, so the gadget has no arc
             node, last = self.root, None
             for byte in token[:-1]:
-                got = node.setdefault(byte, [None, {}])
-                last, node = got[0] if got[0] is not None else last, got[1]
-            node.setdefault(token[-1], [None, {}])[0] = i
-            self.shorter[i], self.length[i] = last, len(token)
+                got = node.setdefault(byte, [None, None])
+                if got[0] is not None:
+                    last = got[0]
+                if got[1] is None:
+                    got[1] = {}
+                node = got[1]
+            node.setdefault(token[-1], [None, None])[0] = i
+            self.shorter[i] = last
 
     def arc(self, after: int, token: int, until: int = 1 << 62) -> bool:
-        """Whether the state that ``after`` leads to has an arc for ``token``, before the gadget of rank ``until``."""
-        for cut, before in self.state[after]:
-            for t, taken in self.left[token]:
-                rank = cut.get(t)
-                if rank is not None and rank < before and rank <= taken and rank < until:
-                    return False
-        return True
+        """Whether the state that ``after`` leads to has an arc for ``token``, before the gadget of rank
+        ``until``. The state is the one that its right part led to before its gadget: cuts of later rank
+        aren't in it. The arc came from its left part's, as that was when the gadget was added."""
+        before = until
+        while True:
+            cut = self.cuts[after]
+            if cut is not None:
+                t, taken = token, until
+                while True:
+                    rank = cut.get(t)
+                    if rank is not None and rank < before and rank <= taken:
+                        return False
+                    part = self.parts[t]
+                    if part is None:
+                        break
+                    t, taken = part[0], part[2]
+            part = self.parts[after]
+            if part is None:
+                return True
+            after, before = part[1], min(before, part[2])
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the word's accepted path: from each place the longest arc that the state has,
@@ -111,6 +109,8 @@ class MergeAutomaton:
                     if got[0] is not None:
                         token = got[0]
                     node = got[1]
+                    if node is None:
+                        break
                 if token is None:
                     raise ValueError(f"no path for {word!r}: the vocabulary lacks one of its bytes")
             before = path[-1] if path else -1
@@ -141,12 +141,12 @@ class MergeAutomaton:
 class Emitted(dict):
     """The bytes that runs of ids spell; kept by run, and emptied when there are ``most``."""
 
-    def __init__(self, labels: dict[str, bytes], most: int):
+    def __init__(self, labels: list[bytes], most: int):
         super().__init__()
         self.labels, self.most = labels, most
 
     def __missing__(self, ids: str) -> bytes:
-        got = self[ids] = b"".join([self.labels[i] for i in ids.split(",")])
+        got = self[ids] = b"".join([self.labels[int(i)] for i in ids.split(",")])
         return got
 
 
@@ -167,7 +167,10 @@ class BpeCodec:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = {raw(t): i for t, i in model["vocab"].items() if t not in special}
         self.automaton = MergeAutomaton(vocab, [(raw(a), raw(b)) for a, b in merges])
-        self.labels = {str(i): t for i, t in self.automaton.label.items()} | {str(i): t.encode() for t, i in special.items()}
+        del spec, model, merges, vocab
+        self.labels = self.automaton.label + [None] * (max(special.values(), default=-1) + 1 - len(self.automaton.label))
+        for t, i in special.items():
+            self.labels[i] = t.encode()
         self.special = {t: str(i) for t, i in special.items()}
         self.cut_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.pre_split = regex.compile(PRE_SPLIT).findall

@@ -61,8 +61,9 @@ def held(name: str, make):
     collector is off meanwhile; caches hold no cycles, and to walk them costs a quarter of the time."""
     if name not in _HELD:
         release()
-        gc.disable()
         _HELD[name] = make()
+        gc.collect()
+        gc.disable()
     return _HELD[name]
 
 

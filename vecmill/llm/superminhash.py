@@ -177,7 +177,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: st
 
     def run(batches):
         release()
-        for b in slices(batches, 512, 1 << 20):
+        for b in slices(batches, 256, 1 << 18):
             sets, at = shingle_sets(b["text"])
             bandh = band_hashes(superminhash(sets, at, bands * rows), bands)
             h1, h2 = set_hash(sets, at)
@@ -196,7 +196,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, most
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(side, "id", "left_semi")
 
     def run(batches):
-        for b in slices(batches, 512, 1 << 20):
+        for b in slices(batches, 256, 1 << 18):
             sets, at = shingle_sets(b["text"])
             h1, h2 = set_hash(sets, at)
             cut = at.tolist()

@@ -45,7 +45,7 @@ class UnionFind:
 
 def contract(edges: DataFrame) -> DataFrame:
     """The edges of each partition as stars around the smallest node, found by union-find,
-    a million edges at a time."""
+    200,000 edges at a time."""
 
     def run(batches):
         def stars(sets):
@@ -58,7 +58,7 @@ def contract(edges: DataFrame) -> DataFrame:
             for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist()):
                 sets.union(u, v)
             n += b.num_rows
-            if n > 1_000_000:
+            if n > 200_000:
                 yield stars(sets)
                 sets, n = UnionFind(), 0
         if n:

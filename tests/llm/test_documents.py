@@ -191,6 +191,21 @@ def test_backoff():
     assert np.allclose(m.word("zq"), [-np.log(2 / 9), langid.PENALTY]) and m.word("qq") is None
 
 
+def test_model_keeps_every_word(spark):
+    from collections import Counter
+    from itertools import product
+
+    words = ["".join(p) for p in product("abcdefghijklmnopqrstuvwxyzäöüß", repeat=3)] + ["".join(p) for p in product("ghijklmno", repeat=4)]
+    texts = [(" ".join(words[i::40]), "en") for i in range(40)] + [("der die das der aaa", "de")] * 3
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(texts)], "doc_id long, text string, lang string")
+    counts = {x: Counter(w for t, lang in texts if lang == x for w in t.split()) for x in ("de", "en")}
+    m = langid.train_model(df, F.lit(True))
+    for w in [*words, "der", "die"]:
+        assert np.allclose(m.word(w), [-np.log(c[w] / c.total()) if c[w] else langid.PENALTY for c in counts.values()])
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, m, ["doc_id"]).collect()}
+    assert got == {i: lang for i, (_, lang) in enumerate(texts)}
+
+
 # pages
 
 

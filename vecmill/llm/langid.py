@@ -6,10 +6,12 @@ n-grams (padded with spaces), from the longest to the shortest length that has a
 one, scored by their mean. A text's score is the sum over its words (Jauhiainen et al.,
 "HeLI, a word-based backoff method for language identification").
 
-All training texts are counted, whole. The model keeps, for each language and kind (word
-or n-gram length), the features at or above the lowest count that leaves at most
-``most_words`` or ``most_grams`` of them: it is bounded by these parameters times the
-number of languages, and only it is broadcast.
+All training texts are counted, whole, and the model keeps every counted word and n-gram.
+It is a table in files of the shared folder, cut into parts by the features' 64-bit hashes
+and sorted by them, which workers map into memory and search: neither driver nor broadcast
+holds it, and mapped pages are the system's to drop. Two of n features share a hash with
+probability n^2 / 2^65 (5e-8 for a million), and one that isn't there is taken for one
+that is with n / 2^64.
 
 A text that is null or has no letter is ``und`` with score 0. One with letters of which
 the model knows nothing gets the language with most training words. Rows without a
@@ -19,16 +21,21 @@ language or id are not learned from. An empty training set knows no language: ``
 from __future__ import annotations
 
 import math
+import os
 import re
+import shutil
+import tempfile
 import uuid
 from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, release, slices, text_batches, written
+from .common import held, new_folder, release, slices, text_batches, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PENALTY = 7.0 * math.log(10)
@@ -96,16 +103,46 @@ def count_grams(words: DataFrame, longest: int, most: int = 200_000) -> DataFram
     return words.select("lang", "feature", "n").mapInArrow(run, COUNTED).where("trim(feature) <> ''").groupBy("lang", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
-def keep_frequent(counts: DataFrame, most_words: int, most_grams: int) -> DataFrame:
-    """lang, kind, feature, n and total (of all features): the features whose count is at least the
-    lowest one that leaves no more than the most. Found from how many features have each count."""
-    by_count = counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("features"))
-    down = Window.partitionBy("lang", "kind").orderBy(F.desc("n"))
-    run = by_count.withColumn("so_far", F.sum("features").over(down))
-    most = F.when(F.col("kind") == 0, F.lit(most_words)).otherwise(F.lit(most_grams))
-    totals = by_count.groupBy("lang", "kind").agg(F.sum(F.col("n") * F.col("features")).alias("total"))
-    least = run.where(F.col("so_far") <= most).groupBy("lang", "kind").agg(F.min("n").alias("least")).join(totals, ["lang", "kind"])
-    return counts.join(least, ["lang", "kind"]).where("n >= least").select("lang", "kind", "feature", "n", "total")
+def feature_key(kind: int, feature: str) -> int:
+    """64 bits of a word (kind 0) or an n-gram, whose length tells its kind."""
+    return int.from_bytes(blake2b((("g" if kind else "w") + feature).encode(), digest_size=8).digest(), "little")
+
+
+def store(counts: DataFrame, totals: dict[tuple[str, int], int], langs: list[str], size: int = 250_000) -> tuple[str, dict[int, str], int]:
+    """Writes every counted feature's penalties as files of about ``size`` cells: their folder, the paths
+    by part and the bits of a hash that tell its part. A file has the numbers of keys and cells, the
+    keys in order, where each one's cells start, and the cells' languages and penalties."""
+    spark = counts.sparkSession
+    bits = max(0, math.ceil(math.log2(max(1, counts.count()) / size)))
+    folder = new_folder(spark, "language-model")
+    where = {lang: i for i, lang in enumerate(langs)}
+
+    def hashed(batches):
+        release()
+        for b in slices(batches, 4096):
+            langs_, kinds = b["lang"].to_pylist(), b["kind"].to_pylist()
+            keys = np.array([feature_key(k, f) for k, f in zip(kinds, b["feature"].to_pylist())], np.uint64)
+            share = b["n"].to_numpy() / np.array([totals[x] for x in zip(langs_, kinds)], np.float64)
+            scores = np.minimum(PENALTY, -np.log(share)).astype(np.float32)
+            part = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys.view(np.int64)), pa.array([where[x] for x in langs_], pa.int32()), pa.array(scores)], ["part", "key", "lang", "score"])
+
+    def write(table: pa.Table) -> pa.Table:
+        keys = table["key"].combine_chunks().to_numpy().view(np.uint64)
+        lang, score = table["lang"].combine_chunks().to_numpy(), table["score"].combine_chunks().to_numpy()
+        order = np.lexsort((lang, keys))
+        one, starts = np.unique(keys[order], return_index=True)
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        path = f"{root}/{uuid.uuid4().hex}"
+        with fs.open_output_stream(path, compression=None) as f:
+            for column, kind in (((len(one), len(keys)), "<i8"), (one, "<u8"), ((*starts, len(keys)), "<i4"), (lang[order], "<i4"), (score[order], "<f4")):
+                f.write(np.asarray(column, kind).tobytes())
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "path": [path]})
+
+    cells = counts.mapInArrow(hashed, "part int, key long, lang int, score float")
+    files = written(cells.groupBy("part").applyInArrow(write, "part int, path string"), "language-manifest")
+    return folder, {r["part"]: r["path"] for r in files.collect()}, bits  # a row for each file
 
 
 class Model:
@@ -129,19 +166,71 @@ class Model:
             self.matrix[r, c] = score
         self.longest = max(self.rows, default=0)
 
+    def find(self, kind: int, feature: str) -> np.ndarray | None:
+        row = self.rows.get(kind, {}).get(feature)
+        return None if row is None else self.matrix[row]
+
     def word(self, w: str) -> np.ndarray | None:
-        known = self.rows.get(0, {}).get(w)
+        known = self.find(0, w)
         if known is not None:
-            return self.matrix[known]
+            return known
         padded = f" {w} "
         for size in range(self.longest, 0, -1):
-            get = self.rows.get(size, {}).get
-            found = [r for i in range(len(padded) - size + 1) if (r := get(padded[i : i + size])) is not None]
+            found = [r for i in range(len(padded) - size + 1) if (r := self.find(size, padded[i : i + size])) is not None]
             if found:
-                return self.matrix[found].sum(axis=0) / len(found)
+                return np.sum(found, axis=0) / len(found)
         return None
 
 
+class StoredModel(Model):
+    """A model in files; n-grams that were asked for are kept, up to ``most``."""
+
+    def __init__(self, folder: str, paths: dict[int, str], bits: int, totals: dict[str, int], longest: int, most: int = 50_000):
+        super().__init__([], totals)
+        self.folder, self.paths, self.shift, self.longest, self.most = folder, paths, 64 - bits, longest, most
+        self.parts, self.grams = {}, {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"parts": {}, "grams": {}}
+
+    def part(self, number: int) -> tuple[np.ndarray, ...] | None:
+        path = self.paths.get(number)
+        if path is None:
+            return None
+        fs, _ = pafs.FileSystem.from_uri(self.folder)
+        if not isinstance(fs, pafs.LocalFileSystem):  # a copy for all workers of this machine
+            copy = os.path.join(tempfile.gettempdir(), f"vecmill-{path.rsplit('/', 1)[-1]}")
+            if not os.path.exists(copy):
+                with fs.open_input_stream(path, compression=None) as f, open(f"{copy}.{uuid.uuid4().hex}", "wb") as to:
+                    shutil.copyfileobj(f, to)
+                os.replace(to.name, copy)
+            path = copy
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
+        n, m = raw[:16].view("<i8").tolist()
+        ends = np.cumsum([16, 8 * n, 4 * n + 4, 4 * m, 4 * m])
+        return tuple(raw[a:b].view(kind) for a, b, kind in zip(ends, ends[1:], ("<u8", "<i4", "<i4", "<f4")))
+
+    def find(self, kind: int, feature: str) -> np.ndarray | None:
+        if kind and feature in self.grams:
+            return self.grams[feature]
+        key = feature_key(kind, feature)
+        number = key >> self.shift
+        if number not in self.parts:
+            self.parts[number] = self.part(number)
+        row, part = None, self.parts[number]
+        if part is not None:
+            keys, starts, langs, scores = part
+            at = int(keys.searchsorted(np.uint64(key)))
+            if at < len(keys) and int(keys[at]) == key:
+                row = np.full(len(self.langs), PENALTY)
+                row[langs[starts[at] : starts[at + 1]]] = scores[starts[at] : starts[at + 1]]
+        if kind:
+            if len(self.grams) >= self.most:
+                self.grams.clear()
+            self.grams[feature] = row
+        return row
+
+
 class _Chunks(dict):
     """Row number of the scores of what lies between white space; row 0 scores nothing."""
 
@@ -178,16 +267,16 @@ class _Chunks(dict):
         return self.used - 1
 
 
-def train_model(docs: DataFrame, trains: Column, text_col: str = "text", lang_col: str = "lang", longest: int = 4, most_words: int = 25_000, most_grams: int = 10_000) -> Model:
+def train_model(docs: DataFrame, trains: Column, text_col: str = "text", lang_col: str = "lang", longest: int = 4) -> Model:
     """Learns from whole texts of the rows for which ``trains`` is true and the language isn't null."""
     text_batches(docs.sparkSession)
     train = docs.where(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     words = written(count_words(train), "words")
     grams = written(count_grams(words, longest), "grams")
-    kept = keep_frequent(words.unionByName(grams), most_words, most_grams).toPandas()  # bounded by the parameters and languages
-    rows = kept.sort_values(["kind", "feature", "lang"])[["lang", "kind", "feature", "n", "total"]].itertuples(index=False, name=None)
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    return Model(rows, totals)
+    counts = words.unionByName(grams)
+    totals = {(r["lang"], r["kind"]): r["n"] for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}  # some rows a language
+    of_words = {lang: n for (lang, kind), n in totals.items() if not kind}
+    return StoredModel(*store(counts, totals, sorted(of_words)), of_words, longest)
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", most: int = 150_000) -> DataFrame:

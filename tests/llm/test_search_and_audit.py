@@ -47,6 +47,19 @@ def test_odd_vectors(spark):
     assert T.top_k(df.where("vec_id = 0"), F.lit(True), 3).count() == 0
 
 
+def test_repeated_queries(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((40, 4)).astype(np.float32))]
+    rows += [rows[0], rows[0], rows[7], (5, [1.0, -1.0, 0.5, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = []
+    for q, v in {(i, tuple(v)) for i, v in rows if i % 5 == 0}:
+        scored = sorted((-int(np.floor(64 * np.array(v)) @ np.floor(64 * np.array(w))), i) for i, w in rows if i != q)[:6]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    got = sorted(map(tuple, T.top_k(df, F.col("vec_id") % 5 == 0, 6, block=10, group=3).collect()))
+    assert got == sorted(want) and len([r for r in got if r[0] == 0]) == 6 and len([r for r in got if r[0] == 5]) == 12
+
+
 def test_large_components_are_exact():
     q, d = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 1.0], [2.0**20, 0.0]])
     assert T.exact(q, d).tolist() == [[2**60 + 1, 2**60]]

@@ -16,7 +16,9 @@ a possible result, and equal scores are kept for the smaller id.
 Components are floor(scale * x). Vectors that are null or hold null or non-finite
 components take no part, nor do rows without an id; shorter vectors count as padded with
 zeros. A query meets every row but those of its own id; rows that repeat an id are
-candidates of their own. Scores beyond a long stop at its ends.
+candidates of their own, each with its rank. Query rows of the same id and components are
+one query; those of the same id with other components are queries of their own, each with
+its k results, ranked from 1. Scores beyond a long stop at its ends.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .common import partitions, slices, written
 
 LONG = 2**63 - 1
 PACKED = "kind int, block int, qgroup long, ids binary, vectors binary, kth binary"
+#: A query is known by its group and its place there: ids may repeat.
+FOUND = "qgroup long, at long, query_id long, vec_id long, score long"
 
 
 def exact(q: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -144,14 +148,14 @@ def _search(rows: DataFrame, k: int, packed: bool) -> DataFrame:
                 top = TopK(len(ids), k, np.frombuffer(kth, np.int64))
                 dual(cover_tree(x), data[3], x, data[2], ids, data[1], top)
                 sizes = [len(s) for s in top.scores]
-                cols = [pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([*top.ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*top.scores, np.zeros(0, np.int64)]))]
+                cols = [pa.array(np.repeat(np.arange(len(ids)), sizes)), pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([*top.ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*top.scores, np.zeros(0, np.int64)]))]
                 if packed:
                     lists = [pa.array([c.to_numpy().tobytes()], pa.binary()) for c in cols]
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([group], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([raw], pa.binary()), pa.array([top.kth.tobytes()], pa.binary()), *lists], ["block", "qgroup", "ids", "vectors", "kth", "query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([group], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([raw], pa.binary()), pa.array([top.kth.tobytes()], pa.binary()), *lists], ["block", "qgroup", "ids", "vectors", "kth", "at", "query_id", "vec_id", "score"])
                 else:
-                    yield pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(sum(sizes), group, np.int64)), *cols], ["qgroup", "at", "query_id", "vec_id", "score"])
 
-    schema = "block int, qgroup long, ids binary, vectors binary, kth binary, query_id binary, vec_id binary, score binary" if packed else "query_id long, vec_id long, score long"
+    schema = "block int, qgroup long, ids binary, vectors binary, kth binary, at binary, query_id binary, vec_id binary, score binary" if packed else FOUND
     return rows.mapInArrow(run, schema)
 
 
@@ -189,7 +193,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0, blo
             square = (v**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * v @ centres.T
             cell = square.argmin(axis=1)
             far = np.sqrt(((v - centres[cell]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([b["id"], b["q"], pa.array(cell.astype(np.int32)), pa.array(far), pa.array([row.tobytes() for row in v], pa.binary())], ["id", "q", "cell", "far", "v"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["q"], pa.array(cell.astype(np.int32)), pa.array(far), pa.array([row.tobytes() for row in v + 0.0], pa.binary())], ["id", "q", "cell", "far", "v"])
 
     rows = written(src.mapInArrow(assign, "id long, q boolean, cell int, far double, v binary"), "vectors")
     cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("q").alias("queries"), F.max("far").alias("far")).orderBy("cell").collect()  # at most ``most_pivots``
@@ -215,7 +219,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0, blo
         return run
 
     blocks = written(placed.select("block", "id", "v").groupBy("block").applyInArrow(pack(0), PACKED), "blocks")
-    queries = placed.where("q").withColumn("g", F.col("start").cast("long") * 1_000_000_000 + F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")))
+    queries = placed.where("q").select("start", "groups", "id", "v").dropDuplicates(["id", "v"]).withColumn("g", F.col("start").cast("long") * 1_000_000_000 + F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")))
     groups = queries.select("g", F.col("start").alias("block"), "id", "v").groupBy("g").applyInArrow(pack(1), PACKED)
     home = written(_search(blocks.unionByName(groups), k, True), "home")
     table = np.array([(m[0], m[1], m[2]) for m in meta])
@@ -238,10 +242,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0, blo
 
     def unpack(batches):
         for b in batches:
-            for q, v, s in zip(*(b[c].to_pylist() for c in ("query_id", "vec_id", "score"))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(part, np.int64)) for part in (q, v, s)], ["query_id", "vec_id", "score"])
+            for group_, *lists in zip(*(b[c].to_pylist() for c in ("qgroup", "at", "query_id", "vec_id", "score"))):
+                parts = [np.frombuffer(part, np.int64) for part in lists]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(parts[0]), group_, np.int64), *parts)], ["qgroup", "at", "query_id", "vec_id", "score"])
 
     others = _search(blocks.unionByName(home.mapInArrow(send, PACKED)), k, False)
-    found = home.select("query_id", "vec_id", "score").mapInArrow(unpack, "query_id long, vec_id long, score long").unionByName(others)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = home.select("qgroup", "at", "query_id", "vec_id", "score").mapInArrow(unpack, FOUND).unionByName(others)
+    order = Window.partitionBy("qgroup", "at").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

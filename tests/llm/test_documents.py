@@ -240,6 +240,14 @@ def test_page(html, text):
     assert H.main_text(html) == text
 
 
+@pytest.mark.parametrize("wrapper", ['class="content has-sidebar"', 'id="page-with-comments"', 'class="widget-text"', 'class="share-post"', 'class="widget"', 'id="noSidebar"'])
+@pytest.mark.parametrize("tag", ["article", "section"])
+def test_wrapper_named_for_noise(wrapper, tag):
+    words = "Long text of an article. " * 9
+    html = f"<body><div class='ad-box'>Buy!</div><div {wrapper}><{tag}><h1>T</h1><p>{words}</p><div class='related-list'>More</div></{tag}></div><p class=copyright>c</p></body>"
+    assert H.main_text(html) == "T\n\n" + words.strip()
+
+
 def test_pages_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>a"), (1, None, None)], "page_id long, url string, html string").withColumns({"text": F.lit("x"), "n_chars": F.lit(3)})
     got = sorted((tuple(r) for r in H.extract(df).collect()), key=str)

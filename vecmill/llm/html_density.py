@@ -3,8 +3,11 @@
 A lenient parser builds the element tree of the whole page (void elements, implied ends
 of p, li, td and the like, raw text of script and style, pages cut off anywhere). Parts
 that aren't text of the article by their element, role or class (menus, headers, footers,
-sidebars, notices, adverts, forms, comments) are left out. For every other element the
-composite density is
+sidebars, notices, adverts, forms, comments) are left out. A class or id names such a part
+if its head word does: the last one but for words of layout and for what follows has, with
+or no. An element so named stays if it holds an article or main, or if the greatest density
+sum is in it and is ten times the greatest outside such elements, or more. For every other
+element the composite density is
 
     C / T * log(C / LC * T / LT, base ln(C / nLC * LC + LCb / Cb * C + e))
 
@@ -47,6 +50,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NOISE = frozenset(
     "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion comment comments disqus reply replies respond sidebar sidenav nav navbar navigation menu topbar masthead breadcrumb breadcrumbs pagination pager footer cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar skip copyright".split()
 )
+#: Words of layout at a name's end: the word before says what it is.
+LAYOUT = frozenset("area bar block bottom box button buttons cell col column container wrapper wrap group holder inner outer item items layout left right top list panel row section slot unit zone".split())
+BESIDE = frozenset("has with without no not".split())
+MUCH = 10.0
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -56,24 +63,37 @@ SPACE = re.compile(r"\s+")
 INSIDE = frozenset({"article", "main"})
 
 
-def _noise(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is no part of any article, by what it calls itself."""
+def _head(name: str) -> str:
+    """What a class or id calls its element: "sidebar" for left-sidebar and sidebar-box, "page" for page-with-sidebar."""
+    words = [w for w in SPLIT.split(CAMEL.sub("-", name).lower()) if w and not w.isdigit()]
+    for i, w in enumerate(words):
+        if w in BESIDE:
+            words = words[:i]
+            break
+    while len(words) > 1 and words[-1] in LAYOUT:
+        words.pop()
+    return words[-1] if words else ""
+
+
+def _noise(tag: str, attrs: str, inside: bool) -> int:
+    """2 if an element is no part of any article by its kind, role or hiding, 1 if by its class or id, else 0."""
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return 2
     if not attrs or tag in ("body", "html"):
-        return False
+        return 0
+    named = 0
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
-            return True
+            return 2
         if name == "role" and value.lower() in ROLES:
-            return True
+            return 2
         if name in ("class", "id") and tag not in INSIDE:
             for one in value.split():
-                words = SPLIT.split(CAMEL.sub("-", one).lower())
-                if not NOISE.isdisjoint(words) or not inside and "header" in words:
-                    return True
-    return False
+                head = _head(one)
+                if head in NOISE or not inside and head == "header":
+                    named = 1
+    return named
 
 
 class Page:
@@ -83,6 +103,9 @@ class Page:
         self.tag, self.parent, self.chars, self.links, self.tags, self.link_tags = ["#"], [-1], [0], [0], [0], [0]
         #: text runs (element, text) and None where a block ends
         self.runs: list[tuple[int, str] | None] = []
+        #: elements that their names call noise
+        self.named: list[int] = []
+        self.out: list[bool] = []
         self._parse(html)
 
     def _add(self, tag: str, parent: int) -> int:
@@ -134,13 +157,16 @@ class Page:
             top = stack[-1]
             attrs = m[3] or m[6] or ""
             inside = top[3] or tag in INSIDE
-            dropped = top[2] or _noise(tag, attrs, top[3])
+            noise = 2 if top[2] else _noise(tag, attrs, top[3])
+            dropped = noise == 2
             if tag == "br":
                 self._text(" ", top)
             if dropped:
                 i = top[0]
             else:
                 i = self._add(tag, top[0])
+                if noise:
+                    self.named.append(i)
             if tag in RAW and not attrs.endswith("/"):
                 if lower is None:
                     lower = html.lower()
@@ -164,9 +190,14 @@ class Page:
             self.links[top[0]] += n
 
     def densities(self) -> tuple[list[float], list[float]]:
-        """Composite density and density sum of each element."""
-        n = len(self.tag)
+        """Composite density and density sum of each element; those that are out have none."""
+        n, out = len(self.tag), self.out
+        if out:
+            for column in (self.chars, self.links):
+                column[:] = [0 if o else v for v, o in zip(column, out)]
         for i in range(n - 1, 0, -1):
+            if out and out[i]:
+                continue
             p = self.parent[i]
             self.chars[p] += self.chars[i]
             self.links[p] += self.links[i]
@@ -180,14 +211,56 @@ class Page:
                 t, lc, lt = max(1, self.tags[i]), max(1, self.links[i]), max(1, self.link_tags[i])
                 base = math.log(c / max(1, c - self.links[i]) * lc + body_links / body_chars * c + math.e)
                 density[i] = max(0.0, c / t * math.log(c / lc * t / lt) / math.log(base)) if base > 1.0 else c / t
-            if i:
+            if i and not (out and out[i]):
                 sums[self.parent[i]] += density[i]
         return density, sums
 
+    def under(self, named: list[int]) -> list[bool]:
+        """Which elements are among the named or below one."""
+        out = [False] * len(self.tag)
+        for i in named:
+            out[i] = True
+        for i in range(1, len(out)):
+            out[i] = out[i] or out[self.parent[i]]
+        return out
+
+    def decide(self) -> None:
+        """Marks as out what is below elements named as noise that hold no article."""
+        if not self.named:
+            return
+        holds = [False] * len(self.tag)
+        for i in range(len(holds) - 1, 0, -1):
+            if holds[i] or self.tag[i] in INSIDE:
+                holds[self.parent[i]] = True
+        named = [i for i in self.named if not holds[i]]
+        own = [column[:] for column in (self.chars, self.links, self.tags, self.link_tags)]
+        _, sums = self.densities()
+        self.chars, self.links, self.tags, self.link_tags = own
+        out = self.under(named)
+        best = max(range(len(sums)), key=lambda i: (sums[i] if out[i] else -1.0, -i))
+        if out[best] and self._outside(out) * MUCH <= sums[best]:
+            up, above = best, set()
+            while up > 0:
+                above.add(up)
+                up = self.parent[up]
+            named = [i for i in named if i not in above]
+            out = self.under(named)
+        self.out = out
+
+    def _outside(self, out: list[bool]) -> float:
+        """The greatest density sum without what is out."""
+        own = [column[:] for column in (self.chars, self.links, self.tags, self.link_tags)]
+        self.out = out
+        _, sums = self.densities()
+        self.out = []
+        self.chars, self.links, self.tags, self.link_tags = own
+        return max(s for s, o in zip(sums, out) if not o)
+
     def content(self) -> list[bool]:
         """Which elements are in the text."""
+        self.decide()
         density, sums = self.densities()
-        n = len(self.tag)
+        n, out = len(self.tag), self.out or [False] * len(self.tag)
         inside = [False] * n
         if not self.chars[0]:
             return inside
@@ -211,7 +284,7 @@ class Page:
         path.discard(lifted)
         for i in range(n):
             p = self.parent[i]
-            inside[i] = i == lifted or p >= 0 and inside[p] or i not in path and p in path and density[i] >= threshold and 2 * self.links[i] < self.chars[i]
+            inside[i] = not out[i] and (i == lifted or p >= 0 and inside[p] or i not in path and p in path and density[i] >= threshold and 2 * self.links[i] < self.chars[i])
         return inside
 
     def text(self) -> str:

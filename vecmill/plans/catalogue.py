@@ -173,6 +173,12 @@ def train_eval_split(spark, sf):
     return V.train_eval_split(vectors(spark, sf).select("vec_id"), 300, 100)
 
 
+@query()
+def default_train_eval_split(spark, sf):
+    """The split with the operator's own sizes; train_eval_split has those that its oracle names."""
+    return V.train_eval_split(vectors(spark, sf).select("vec_id"))
+
+
 # ---- statistics of components
 
 STATS = U + ", corr AS (SELECT a.i, b.i AS j, least(greatest(corr(a.x, b.x), -1.0), 1.0) AS r FROM u a JOIN u b ON a.vec_id = b.vec_id GROUP BY a.i, b.i)"
@@ -437,6 +443,15 @@ def proxy_cost_table(spark, sf):
     return e.groupBy("g").applyInPandas(run, "g int, b int, cost double")
 
 
+@query()
+def holdout_cost_table(spark, sf):
+    """Holdout costs of groups and bits as the structure search takes them: k-means, the operator's own sizes."""
+    cost = structure.HoldoutCost(Q.training_rows(vectors(spark, sf), 20_480, 123), spark=spark, job_from=1)
+    cells = [(g, b) for g in range(len(GROUPS)) for b in range(5)]
+    cost.need([(GROUPS[g], b) for g, b in cells])
+    return spark.createDataFrame([(g, b, round(cost(GROUPS[g], b), 6)) for g, b in cells], "g int, b int, cost double")
+
+
 # ---- ranking metrics and retrieval tables
 
 

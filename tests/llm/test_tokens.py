@@ -27,7 +27,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def codec():
-    return BpeCodec(PATH)
+    return BpeCodec.of(PATH, most=5000)
 
 
 def ids_of(codec, text):
@@ -50,7 +50,7 @@ def test_same_ids_as_the_library(library, codec):
 
 def test_every_token_is_its_own_path(codec):
     a = codec.automaton
-    assert all(a.encode(t) == [i] for i, t in enumerate(a.label) if t is not None)
+    assert all(a.encode(a.label(i)) == [i] for i in range(len(a.state)) if a.state[i] >= 0) and min(a.state) >= 0
 
 
 @settings(max_examples=200, deadline=None)
@@ -73,7 +73,50 @@ def test_automaton_is_merging(pairs, word):
             else:
                 out.append(t)
         now = out
-    assert MergeAutomaton(vocab, merges).encode(word.encode()) == [vocab[t] for t in now]
+    assert MergeAutomaton.of(vocab, merges).encode(word.encode()) == [vocab[t] for t in now]
+
+
+def merged(text, merges):
+    now = [bytes([c]) for c in text]
+    for u, v in merges:
+        out = []
+        for t in now:
+            if out and out[-1] == u and t == v:
+                out[-1] = u + v
+            else:
+                out.append(t)
+        now = out
+    return now
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=7))
+def test_every_state_has_the_arcs_of_correct_tokenizations(pairs):
+    """State by state: a token may follow a path if the two together merge into just that."""
+    vocab, merges = {b"a": 0, b"b": 1}, []
+    for x, y in pairs:
+        tokens = list(vocab)
+        u, v = tokens[x % len(tokens)], tokens[y % len(tokens)]
+        if u + v not in vocab:
+            vocab[u + v] = len(vocab)
+            merges.append((u, v))
+    a, names = MergeAutomaton.of(vocab, merges), list(vocab)
+    own = [t for t in names if merged(t, merges) == [t]]
+    assert [t for t in names if a.step(0, vocab[t]) >= 0] == own
+    for u in own:
+        after = a.step(0, vocab[u])
+        assert [v for v in own if a.step(after, vocab[v]) >= 0] == [v for v in own if merged(u + v, merges) == [u, v]]
+        for v in own:  # and a step further
+            if (then := a.step(after, vocab[v])) >= 0:
+                assert [w for w in own if a.step(then, vocab[w]) >= 0] == [w for w in own if merged(u + v + w, merges) == [u, v, w]]
+
+
+def test_every_code_point(library, codec):
+    """Each character among letters, marks, digits and spaces."""
+    points = [chr(c) for c in range(0x20, 0x20000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 500):
+        text = "".join(f"a{c}'s x{c} {c}1 " for c in points[at : at + 500])
+        assert ids_of(codec, text) == library.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=100, deadline=None)

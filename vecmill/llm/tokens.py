@@ -15,11 +15,9 @@ import re
 from array import array
 
 import numpy as np
-import regex
 
 from .common import held
-
-PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from .unicode_classes import PRE_SPLIT
 
 #: From here on a letter of one version of Unicode may not be one of another.
 UNSURE = "\u0530"
@@ -42,42 +40,53 @@ class NotCut(Exception):
 
 class Words(dict):
     """ids of words after a space. Letters are kept, and what is short; other words are put together
-    from their parts. Emptied when it holds ``most`` words, which bounds memory, not what is encoded.
+    from their parts. When there are ``most`` words they become the old ones and those that were old are
+    dropped, but a word that is met again moves on: this bounds memory, not what is encoded.
     ``whole`` encodes a text that isn't cut, ``part`` one part of the pre-split, ``none`` is no ids."""
 
-    def __init__(self, whole, part, join, special, most: int):
+    def __init__(self, whole, part, join, special, most: int, pre_split=None):
         super().__init__()
         self.whole, self.part, self.join, self.special, self.most = whole, part, join, special, most
         self.marks: dict = {}
-        self.pre_split = regex.compile(PRE_SPLIT).findall
+        self.old: dict = {}
+        self.pre_split = pre_split or re.compile(PRE_SPLIT).findall
 
     def trim(self) -> None:
-        for cache in (self, self.marks):
-            if len(cache) > self.most:
-                cache.clear()
-
-    def _mark(self, run: str):
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        if len(self.marks) > self.most:
+            self.marks.clear()
+
+    def mark(self, run: str):
+        """ids of a part of the pre-split; short ones are kept."""
         got = self.marks.get(run)
         if got is None:
-            got = self.marks[run] = self.part(run)
+            got = self.get(run[1:]) if run[0] == " " else None
+            if got is None:
+                got = self.part(run)
+                if len(run) <= 32:
+                    self.marks[run] = got
         return got
 
     def __missing__(self, w: str):
+        if (got := self.old.get(w)) is not None:
+            self[w] = got
+            return got
         if w.isalpha() and max(w) < UNSURE:
-            got = self[w] = self.part(" " + w)
+            got = self.part(" " + w)
+            if len(w) <= 32:
+                self[w] = got
             return got
         if (cut := letters_then_marks(w)) and (letters := cut[1]).isalpha() and max(letters) < UNSURE:
-            got = self.get(letters)
-            if got is None:
-                got = self[letters] = self.part(" " + letters)
-            got = self.join((got, self._mark(cut[2])))  # a run of marks is one part, whatever letters come before
+            got = self.join((self[letters], self.mark(cut[2])))  # a run of marks is one part, whatever letters come before
         elif not w or w[0].isspace() or self.special(w):
             raise NotCut
         elif max(w) >= UNSURE:
             return self.whole(" " + w)
         else:
             parts = self.pre_split(" " + w)
-            got = self.join([self[p[1:]] if len(parts) > 1 and p[0] == " " and p[1:].isalpha() else self._mark(p) for p in parts])
+            got = self.join([self[p[1:]] if len(parts) > 1 and p[0] == " " and p[1:].isalpha() else self.mark(p) for p in parts])
         if len(w) <= 10:
             self[w] = got
         return got
@@ -86,7 +95,7 @@ class Words(dict):
 class CachedEncoder:
     """ids of texts as little-endian bytes of ``dtype``."""
 
-    def __init__(self, path: str, most: int = 650_000):
+    def __init__(self, path: str, most: int = 325_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

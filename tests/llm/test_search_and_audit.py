@@ -90,7 +90,27 @@ def test_records_survive_packing():
     at = sum(len(W.packed(p)) for p in parts[:20]) + 30
     hurt[at] ^= 0xFF
     got = list(W.parse(bytes(hurt)))
-    assert sum(h is None for *_, h in got) >= 1 and [one for _, _, one, h in got if h][:20] == parts[:20] and got[-1][2] == parts[-1]
+    assert [h is None for *_, h in got] == [i == 20 for i in range(50)] and got[20][0] <= at < got[20][1]
+
+
+def leaves(raw):
+    return [(a, b, hashlib.sha256(raw[a:b]).digest()) for a, b, _ in W.members(raw)]
+
+
+def test_every_changed_byte_is_located():
+    raw = b"".join(W.packed(W.record(f"http://x/{i}", b"<p>text &amp; more</p>" * (i % 3), str(i))) for i in range(8))
+    own = leaves(raw)
+    assert own[0][0] == 0 and own[-1][1] == len(raw) and all(x[1] == y[0] for x, y in zip(own, own[1:]))
+    for at in range(len(raw)):
+        for bit in (1, 16, 128):
+            hurt = bytearray(raw)
+            hurt[at] ^= bit
+            got = leaves(bytes(hurt))
+            wrong = [i for i, (x, y) in enumerate(zip(own, got)) if x != y]
+            assert len(got) == len(own) and [own[i][0] <= at < own[i][1] for i in wrong] == [True]
+    for end in range(0, len(raw), 7):
+        got = leaves(raw[:end])
+        assert (got[-1][1] if got else 0) == end and got != own
 
 
 def pages(spark, n):
@@ -104,21 +124,40 @@ def test_audit_finds_the_damage(spark, n):
     got = W.fixity_report(df).collect()
     assert len(got) == n + 2
     for r in got:
-        hit = hashlib.sha256(("" if r["page_id"] is None else str(r["page_id"])).encode()).hexdigest().startswith("0")
-        assert r["damaged"] == hit == (r["record_sha256"] != r["copy_sha256"])
+        digit = hashlib.sha256(("" if r["page_id"] is None else str(r["page_id"])).encode()).hexdigest()[0]
+        assert r["damaged"] == (digit in "0123") and (r["copy_sha256"] is None) == (digit in "23")
+        assert digit in "23" or (r["record_sha256"] == r["copy_sha256"]) == (digit != "0")
     assert W.fixity_report(df.where("false")).count() == 0
 
 
+def test_audit_of_a_long_body(spark):
+    rows = [(1, "u", "long " * 1_000_000), (2, "u", "short"), (3, "u", "0" * 3_000_000)]
+    got = {r["page_id"]: r for r in W.fixity_report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i]["record_sha256"] == hashlib.sha256(W.record("u", t.encode(), str(i))).hexdigest() for i, _, t in rows)
+
+
 def test_audit_descends_only_where_roots_differ(spark):
     folder = W.new_folder(spark, "warc")
-    made = W.write_warc(pages(spark, 200), folder, lambda key, raw: raw, records=20)
-    both = made.selectExpr("'original' as replica", "name", "path").union(made.selectExpr("'copy'", "name", "copy"))
+    made = W.write_warc(pages(spark, 200), folder, lambda key, raw, member: member, records=20)
+    both = W.written(made.selectExpr("'original' as replica", "name", "path").union(made.selectExpr("'copy'", "name", "copy")), "files")
     nodes = W.file_trees(both, folder)
     assert nodes.where("level > 0").count() > 0
     assert W.audit(nodes).count() == 0
-    one = made.orderBy("name").first()["copy"]
-    raw = bytearray(open(one, "rb").read())
+    names = [r["name"] for r in made.orderBy("name").collect()]
+    path = dict(made.select("name", "copy").collect())
+    raw = bytearray(open(path[names[0]], "rb").read())
     raw[len(raw) // 2] ^= 0x10
-    open(one, "wb").write(bytes(raw))
-    found = W.audit(W.file_trees(both, folder)).collect()
-    assert found and {r["name"] for r in found} == {made.orderBy("name").first()["name"]}
+    open(path[names[0]], "wb").write(bytes(raw))
+    cut = open(path[names[1]], "rb").read()
+    ends = [end for _, end, _ in W.members(cut)]
+    open(path[names[1]], "wb").write(cut[: ends[-3] - 5])  # the last two records and a part of the one before
+    gone = both.where(~((F.col("name") == names[2]) & (F.col("replica") == "copy")))
+    gone = gone.union(gone.where((F.col("name") == names[3]) & (F.col("replica") == "copy")).selectExpr("replica", "'extra'", "path"))
+    found = {}
+    for r in W.audit(W.file_trees(gone, folder)).collect():
+        found.setdefault(r["name"], []).append((r["start"], r["end"]))
+    size = {n: len(list(W.members(open(path[n], "rb").read()))) for n in names[2:4]}
+    assert set(found) == {*names[:3], "extra"}
+    assert len(found[names[0]]) == 1 and found[names[0]][0][0] <= len(raw) // 2 < found[names[0]][0][1]
+    assert sorted(found[names[1]]) == list(zip(ends[-4:-1], ends[-3:]))
+    assert len(found[names[2]]) == size[names[2]] and len(found["extra"]) == size[names[3]]

@@ -1,17 +1,20 @@
 """WARC files and a Merkle fixity audit of their replicas.
 
-Records (gzip members of .warc.gz files) are hashed: SHA-256 of all their bytes, headers
-included. In each file the
-hashes, with the offset range that each covers, are the leaves of a tree of ``FAN``
-children a node; a node's hash is that of its children's hashes and of its range. File
-roots, in order of file name, are the leaves of the tree over files. Two replicas are
+Records are gzip members of .warc.gz files. They are hashed as they are stored: SHA-256 of
+all bytes of a member, packing included, so that no changed byte goes unseen. In each file
+the hashes, with the range of stored offsets that each covers, are the leaves of a tree of
+``FAN`` children a node; a node's hash is that of its children's hashes and of its range.
+File roots, in order of file name, are the leaves of the tree over files. Two replicas are
 audited from the top: where the roots agree nothing below is looked at, else only the
-children of nodes that differ are compared, down to the records, whose offset ranges tell
-where the corruption is.
+children of nodes that differ are compared, down to the records, whose offsets tell where
+in the file the corruption is. Files that one replica lacks are found by their roots.
 
 A file is bounded by ``records`` and ``size`` when it is written, so a task hashes a file
-without a shuffle. A null page is an empty body, a null url an empty target; a record
-that can't be unpacked or parsed is a leaf ``broken``, so that damage to headers or packing is found, too. Empty tables give no files and no rows.
+without a shuffle. Members are unpacked only to name their record. What can't be unpacked or
+parsed is a leaf ``broken`` up to the next member that begins a record, and the leaves cover
+a file from its first byte to its last. A null page is an empty body, a null url an empty
+target, a null id an empty name; records of the same id are leaves of their own. Empty
+tables give no files and no rows; other columns make no difference.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from .common import new_folder, partitions, release, slices, text_batches, writt
 
 FAN = 16
 DATE = "2026-01-01T00:00:00Z"
-NODES = "replica string, name string, level int, node long, start long, end long, hash string, id string"
+#: size and content (SHA-256) are of the unpacked record, null where it can't be unpacked.
+NODES = "replica string, name string, level int, node long, start long, end long, hash string, id string, size long, content string"
+MAGIC = b"\x1f\x8b\x08"
 
 
 def record(url: str | None, body: bytes, key: str, date: str = DATE) -> bytes:
@@ -44,30 +49,45 @@ def packed(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
+def unpack(raw: bytes, at: int) -> tuple[bytes, int]:
+    """What the member at an offset holds, and where it ends."""
+    z, parts, end, view = zlib.decompressobj(31), [], at, memoryview(raw)
+    while not z.eof:
+        if end >= len(raw):
+            raise zlib.error("cut off")
+        parts.append(z.decompress(view[end : end + 16384]))
+        end += 16384
+    return b"".join(parts), min(end, len(raw)) - len(z.unused_data)
+
+
+def begins(raw: bytes, at: int) -> bool:
+    """Whether a member that holds a record begins here, however it goes on."""
+    try:
+        return zlib.decompressobj(31).decompress(memoryview(raw)[at : at + 1024], 7) == b"WARC/1."
+    except zlib.error:
+        return False
+
+
 def members(raw: bytes):
-    """The records of a .warc.gz file; None for each stretch that can't be unpacked."""
-    at, view = 0, memoryview(raw)
+    """(start, end, unpacked or None) of the stretches of a .warc.gz file, which cover it all. None is
+    what can't be unpacked, up to the next member."""
+    at = 0
     while at < len(raw):
-        z, parts, end = zlib.decompressobj(31), [], at
         try:
-            while not z.eof:
-                if end >= len(raw):
-                    raise zlib.error
-                parts.append(z.decompress(view[end : end + 16384]))
-                end += 16384
-            at = min(end, len(raw)) - len(z.unused_data)
-            yield b"".join(parts)
+            one, end = unpack(raw, at)
         except zlib.error:
-            found = raw.find(b"\x1f\x8b\x08", at + 1)
-            at = len(raw) if found < 0 else found
-            yield None
+            one, end = None, raw.find(MAGIC, at + 1)
+            while end >= 0 and not begins(raw, end):
+                end = raw.find(MAGIC, end + 1)
+            end = len(raw) if end < 0 else end
+        yield at, end, one
+        at = end
 
 
 def parse(raw: bytes):
-    """(start, end, record bytes, headers) of each record, offsets being those of the unpacked stream.
-    Headers are None where a record can't be read; it is then empty or what could be unpacked."""
-    at = 0
-    for one in members(raw):
+    """(start, end, record or None, headers) of each stretch of a file, in stored offsets. Headers are
+    None where there is no record that can be read."""
+    for start, end, one in members(raw):
         headers = None
         if one is not None:
             try:
@@ -80,15 +100,14 @@ def parse(raw: bytes):
                     raise ValueError
             except (ValueError, KeyError):
                 headers = None
-        one = one or b""
-        yield at, at + len(one), one, headers
-        at += len(one)
+        yield start, end, one, headers
 
 
 def write_warc(pages: DataFrame, folder: str, damage=None, records: int = 1024, size: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """Writes the pages as WARC files and returns the manifest (name, path, n_records, n_bytes), a
-    written table. ``damage(key, bytes)`` returns what the copy holds in place of a record, and
-    then each file is written twice: as it is and, in the manifest's ``copy``, damaged."""
+    written table. ``damage(key, record, member)`` returns the stored bytes that the copy holds in place
+    of a record's member, and then each file is written twice: as it is and, in the manifest's
+    ``copy``, damaged."""
 
     text_batches(pages.sparkSession)
 
@@ -105,8 +124,7 @@ def write_warc(pages: DataFrame, folder: str, damage=None, records: int = 1024,
             for p, change in zip(paths, (None, damage)):
                 with fs.open_output_stream(p, compression=None) as f:
                     for (key, r), z in zip(held, whole):
-                        hurt = change(key, r) if change else r
-                        f.write(z if hurt == r else packed(hurt))
+                        f.write(change(key, r, z) if change else z)
             row = [name, paths[0], paths[-1], len(held), sum(len(r) for _, r in held)]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["name", "path", "copy", "n_records", "n_bytes"])
@@ -144,19 +162,20 @@ def file_trees(files: DataFrame, folder: str, fan: int = FAN) -> DataFrame:
                 now = []
                 for start, end, one, headers in parse(raw):
                     key = (headers or {}).get("warc-record-id", "broken").removeprefix("<urn:vecmill:").removesuffix(">")
-                    now.append((start, end, hashlib.sha256(one).hexdigest(), key))
+                    own = (None, None) if one is None else (len(one), hashlib.sha256(one).hexdigest())
+                    now.append((start, end, hashlib.sha256(raw[start:end]).hexdigest(), key, *own))
                 while True:
                     rows += [(level, i, *x) for i, x in enumerate(now)]
                     if len(now) <= 1:
                         break
                     level += 1
                     groups = [now[i : i + fan] for i in range(0, len(now), fan)]
-                    now = [(g[0][0], g[-1][1], _parent([x[2] for x in g], g[0][0], g[-1][1]), None) for g in groups]
+                    now = [(g[0][0], g[-1][1], _parent([x[2] for x in g], g[0][0], g[-1][1]), None, None, None) for g in groups]
                 for at in range(0, len(rows), 4096):
                     part = list(zip(*rows[at : at + 4096]))
                     n = len(part[0])
-                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([replica] * n), pa.array([name] * n), *(pa.array(c, k) for c, k in zip(part, kinds))], ["replica", "name", "level", "node", "start", "end", "hash", "id"])
+                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([replica] * n), pa.array([name] * n), *(pa.array(c, k) for c, k in zip(part, kinds))], ["replica", "name", "level", "node", "start", "end", "hash", "id", "size", "content"])
 
     return files.select("replica", "name", "path").repartition(partitions(files.sparkSession), "path").mapInArrow(run, NODES)
 
@@ -222,18 +241,22 @@ def audit(nodes: DataFrame, first: str = "original", second: str = "copy", fan:
     return found.join(span, ["name", "node"])
 
 
-def damage_some(key: str, raw: bytes) -> bytes:
-    """What the audited copy of the query holds: where the id's SHA-256 begins with 0, the first byte
-    of the body is another one."""
-    if not hashlib.sha256(key.encode()).hexdigest().startswith("0"):
-        return raw
-    at = raw.index(b"\r\n\r\n") + 4
-    return raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :]
+def damage_some(key: str, raw: bytes, member: bytes) -> bytes:
+    """What the audited copy of the query holds, by the first digit of the id's SHA-256. 0: another first
+    byte of the body, packed anew. 1: a bit of the member's header flipped, which unpacking ignores.
+    2: a bit in the middle of the packed data. 3: a bit of the checksum."""
+    digit = hashlib.sha256(key.encode()).hexdigest()[0]
+    if digit == "0":
+        at = raw.index(b"\r\n\r\n") + 4
+        return packed(raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :])
+    at = {"1": 4, "2": 10 + (len(member) - 18) // 2, "3": len(member) - 8}.get(digit)
+    return member if at is None else member[:at] + bytes([member[at] ^ 16]) + member[at + 1 :]
 
 
 def fixity_report(pages: DataFrame) -> DataFrame:
     """op4: writes all pages as WARC files with a damaged copy, audits the replicas, and returns for
-    each record page_id, n_bytes, record_sha256, copy_sha256 and damaged (the audit's finding)."""
+    each record page_id, n_bytes and record_sha256 (unpacked), copy_sha256 (null where the copy's
+    can't be unpacked) and damaged (the audit's finding about the stored bytes)."""
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     made = write_warc(pages, folder, damage_some)
@@ -241,11 +264,9 @@ def fixity_report(pages: DataFrame) -> DataFrame:
     nodes = written(file_trees(files, folder), "nodes")
     found = audit(nodes).select("name", "node", F.lit(True).alias("found"))
     leaves = nodes.where("level = 0")
+    of = lambda replica, column: F.max(F.when(F.col("replica") == replica, F.col(column)))
     pairs = leaves.groupBy("name", "node").agg(
-        F.max(F.when(F.col("replica") == "original", F.col("id"))).alias("id"),
-        F.max(F.when(F.col("replica") == "original", F.col("end") - F.col("start"))).alias("n_bytes"),
-        F.max(F.when(F.col("replica") == "original", F.col("hash"))).alias("record_sha256"),
-        F.max(F.when(F.col("replica") == "copy", F.col("hash"))).alias("copy_sha256"),
+        of("original", "id").alias("id"), of("original", "size").alias("n_bytes"), of("original", "content").alias("record_sha256"), of("copy", "content").alias("copy_sha256")
     )
     out = pairs.join(found, ["name", "node"], "left")
     return out.select(F.nullif("id", F.lit("")).cast("long").alias("page_id"), "n_bytes", "record_sha256", "copy_sha256", F.coalesce("found", F.lit(False)).alias("damaged"))
@@ -259,10 +280,10 @@ WITH r AS (
     || 'Content-Length: ' || CAST(octet_length(CAST(encode(coalesce(html, '')) AS BLOB)) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) AS head
   FROM pages),
 s AS (
-  SELECT page_id, substr(sha256(key), 1, 1) = '0' AS damaged, head || body || chr(13) || chr(10) || chr(13) || chr(10) AS rec,
+  SELECT page_id, substr(sha256(key), 1, 1) AS rot, head || body || chr(13) || chr(10) || chr(13) || chr(10) AS rec,
     head || chr(CAST(xor(ascii(substr(body || chr(13), 1, 1)), 1) AS INTEGER)) || substr(body || chr(13), 2) || chr(10) || chr(13) || chr(10) AS hurt
   FROM r)
 SELECT page_id, CAST(octet_length(encode(rec)) AS BIGINT) AS n_bytes, sha256(rec) AS record_sha256,
-  CASE WHEN damaged THEN sha256(hurt) ELSE sha256(rec) END AS copy_sha256, damaged
+  CASE rot WHEN '0' THEN sha256(hurt) WHEN '2' THEN NULL WHEN '3' THEN NULL ELSE sha256(rec) END AS copy_sha256, rot IN ('0', '1', '2', '3') AS damaged
 FROM s
 """

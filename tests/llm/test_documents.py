@@ -80,6 +80,26 @@ def test_mix_odd_rows(spark):
     assert mixing.mix(documents(spark).where("false")).count() == 0
 
 
+def test_take_keeps_rows_apart(spark):
+    """Rows that share id and text, or all columns, or nothing but the words."""
+    rows = [(1, "a b c d e f", "en", "s1", 1), (1, "a b c d e f", "en", "s2", 1), (None, "x y", "en", "s1", 1), (None, "x y", "de", "s1", 1), (None, "x y", "de", None, 1)]
+    rows += [(7, "p q r s", "en", "s2", n % 2) for n in range(9)] + [(8, None, "en", "s2", 1)]
+    df = documents(spark, rows).withColumns({"__h": F.lit(1), "row": F.lit(2), "copies": F.lit(3)})
+    plan, got = mixing.mix(df).collect(), mixing.take(df)
+    assert got.columns == df.columns
+    words, count = {}, {}
+    for r in plan:
+        words[r["doc_id"], r["source"], r["size"]] = words.get((r["doc_id"], r["source"], r["size"]), 0) + r["taken"]
+    for r in got.collect():
+        key = r["doc_id"], r["source"], len(r["text"].split())
+        count[key] = count.get(key, 0) + key[2]
+    assert count == {k: n for k, n in words.items() if n} and {"s1", "s2", None} == {s for _, s, _ in count}
+    per = {}
+    for r in got.where("doc_id = 7").collect():
+        per[r["n_chars"]] = per.get(r["n_chars"], 0) + 1
+    assert per.get(0, 0) <= 2 * 5 and per.get(1, 0) <= 2 * 4
+
+
 def test_mix_of_one_hot_length(spark):
     """One source and length with most rows: buckets, and repeated rows."""
     rows = [(i // 2, f"a b {i // 2 % 50}", "en", "hot" if i % 4 else "cold", 1) for i in range(600)]
@@ -93,38 +113,84 @@ def test_mix_of_one_hot_length(spark):
 def test_quality_on_held_out_labels(spark):
     docs, labels = table(spark, "documents"), table(spark, "labels")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    scored = quality.score_quality(docs, labels.where(~held))
-    rows = scored.join(labels.where(held), "doc_id").select("kept", F.col("quality").alias("q"), "evidence").join(labels.limit(0).select("toxic"), F.lit(False), "left").collect() if False else scored.drop("quality").join(labels.where(held), "doc_id").collect()
+    rows = quality.score_quality(docs, labels.where(~held)).drop("quality").join(labels.where(held), "doc_id").collect()
     assert len(rows) > 60
     assert sum(r["kept"] == (r["quality"] == 1) for r in rows) / len(rows) > 0.97
     assert all(r["kept"] for r in rows if r["quality"] == 1)
 
 
-def test_quality_against_sums_on_the_driver(spark):
-    rows = op8_quality_eb(spark, SF).collect()
-    docs = {r["doc_id"]: r for r in table(spark, "documents").collect()}
-    e = {r["doc_id"]: r["evidence"] for r in rows}
-    rate = np.mean(list(e.values()))
+def slow_features(text):
+    """The features once more, a character and a word at a time."""
+    words, raw = (text or "").split(), (text or "").encode()
+    if not words:
+        return [0.0] * 12 + [1.0]
+    share = lambda f: sum(map(f, raw)) / len(raw)
+    kinds = (lambda c: chr(c) in "#$%&*+<=>@\\^_`~{}!?", lambda c: chr(c) == "|", lambda c: 65 <= c <= 90, lambda c: 48 <= c <= 57, lambda c: c == 32 or 9 <= c <= 13, lambda c: c >= 128)
+    lines = text.split("\n")
+    return [
+        np.log(1 + len(words)), *(share(k) ** 0.5 for k in kinds), 1 - len(set(words)) / len(words) ** 0.9 if len(words) > 1 else 0.0,
+        sum(a == b for a, b in zip(words, words[1:])) / len(words), 1 - len(set(lines)) / len(lines), min((len(text) - text.count(" ")) / len(words), 30) / 10, float(max(map(len, words)) > 60), 0.0,
+    ]
+
+
+def slow_quality(docs, labels, pseudo=0.5):
+    """(evidence, host rate, path rate, quality) of each document, all by loops. Few enough labels that all are fitted on."""
+    x = {d: slow_features(r["text"]) for d, r in docs.items()}
+    own = sorted(set(labels) & set(docs))
+    z, y = np.array([x[d] for d in own]), np.array([labels[d] for d in own], float)
+    mean, scale = z.mean(0), np.where(z.std(0) > 1e-9, z.std(0), 1)
+    z = np.hstack([(z - mean) / scale, np.ones((len(z), 1))])
+    w, ridge = np.zeros(14), np.array([1.0] * 13 + [1e-6])
+    for _ in range(200):  # damped, unlike the operator's own steps
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= 0.5 * np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge) + 1e-9 * np.eye(14), z.T @ (p - y) + ridge * w)
+    e = {d: 1 / (1 + np.exp(-np.clip(((np.array(v) - mean) / scale) @ w[:-1] + w[-1], -12, 12))) for d, v in x.items()}
+    hosts, paths = {}, {}
+    for d, r in docs.items():
+        for groups, key in ((hosts, r["source"]), (paths, (r["source"], r["shard"]))):
+            n, good = groups.get(key, (0.0, 0.0))
+            groups[key] = (n + pseudo + (d in labels), good + pseudo * e[d] + labels.get(d, 0))
+    rate = sum(g for _, g in hosts.values()) / sum(n for n, _ in hosts.values())
 
     def strength(groups, centre):
-        n = {g: len(v) for g, v in groups.items()}
-        spread = sum(n[g] * (np.mean(v) - centre(g)) ** 2 for g, v in groups.items())
-        base = {g: centre(g) * (1 - centre(g)) for g in groups}
-        between = max((spread - sum(base.values())) / sum(n.values()), 1e-6)
-        return min(max(sum(n[g] * base[g] for g in groups) / sum(n.values()) / between - 1, 1), 1e6)
-
-    hosts, paths = {}, {}
-    for d, p in e.items():
-        hosts.setdefault(docs[d]["source"], []).append(p)
-        paths.setdefault((docs[d]["source"], docs[d]["lang"]), []).append(p)
-    kh = strength(hosts, lambda g: rate)
-    host_rate = {g: (sum(v) + kh * rate) / (len(v) + kh) for g, v in hosts.items()}
-    kp = strength(paths, lambda g: host_rate[g[0]])
+        every = sum(n for n, _ in groups.values())
+        spread = sum(n * (g / n - centre(k)) ** 2 for k, (n, g) in groups.items())
+        base = {k: centre(k) * (1 - centre(k)) for k in groups}
+        between = max((spread - sum(base.values())) / every, 1e-6)
+        return min(max(sum(groups[k][0] * base[k] for k in groups) / every / between - 1, 1), 1e6)
+
+    kh = strength(hosts, lambda k: rate)
+    host_rate = {k: (g + kh * rate) / (n + kh) for k, (n, g) in hosts.items()}
+    kp = strength(paths, lambda k: host_rate[k[0]])
+    out = {}
+    for d, r in docs.items():
+        (hn, hg), (pn, pg) = hosts[r["source"]], paths[r["source"], r["shard"]]
+        hr = (hg - pseudo * e[d] + kh * rate) / (hn - pseudo + kh)
+        pr = (pg - pseudo * e[d] + kp * hr) / (pn - pseudo + kp)
+        odds = np.log(e[d] / (1 - e[d])) + np.log(pr / (1 - pr)) - np.log(rate / (1 - rate))
+        out[d] = (e[d], hr, pr, 1 / (1 + np.exp(-odds)))
+    return out
+
+
+def test_quality_against_loops(spark):
+    rows = op8_quality_eb(spark, SF).collect()
+    docs = {r["doc_id"]: r.asDict() for r in table(spark, "documents").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(quality.SHARDS))).collect()}
+    want = slow_quality(docs, {r["doc_id"]: r["quality"] for r in table(spark, "labels").collect()})
+    assert len(rows) == len(docs)
     for r in rows:
-        h, p, own = hosts[docs[r["doc_id"]]["source"]], paths[docs[r["doc_id"]]["source"], docs[r["doc_id"]]["lang"]], r["evidence"]
-        hr = (sum(h) - own + kh * rate) / (len(h) - 1 + kh)
-        assert r["host_rate"] == pytest.approx(hr, rel=1e-6)
-        assert r["path_rate"] == pytest.approx((sum(p) - own + kp * hr) / (len(p) - 1 + kp), rel=1e-6)
+        assert (r["evidence"], r["host_rate"], r["path_rate"], r["quality"]) == pytest.approx(want[r["doc_id"]], rel=1e-4, abs=1e-6)
+        assert r["kept"] == (r["quality"] >= 0.5)
+
+
+def test_site_levels_change_decisions(spark):
+    """The same borderline text: its site's labels decide."""
+    good, bad, between = prose(60, 1), "### $$$ " * 30, prose(40, 2) + " ### $$$" * 8
+    rows = [(i, good if i % 2 else bad, "en", f"{'ab'[i // 2 % 2]}.org/x", 1) for i in range(200)]
+    rows += [(1000 + i, between, "en", f"{'ab'[i % 2]}.org/{'xy'[i // 2 % 2]}", 1) for i in range(80)]
+    labels = [(i, i % 2, 0) for i in range(200)] + [(1000 + i, i % 2, 0) for i in range(40)]
+    got = {r["doc_id"]: r for r in quality.score_quality(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[1000 + i]["path_rate"] < got[1000 + i + 1]["path_rate"] for i in range(40, 80, 2))
+    assert {got[1000 + i]["kept"] for i in range(40, 80, 2)} == {False} and {got[1001 + i]["kept"] for i in range(40, 80, 2)} == {True}
 
 
 def test_sparse_sites_shrink(spark):
@@ -157,6 +223,65 @@ def test_languages_held_out(spark):
     assert len(rows) == len(docs) and sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) / len(held) > 0.99
 
 
+def test_languages_against_loops(spark):
+    """Every document scored word by word from plain counts."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    def words(text):
+        return "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split()
+
+    rows = table(spark, "documents").collect()
+    count: dict = {}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] and r["text"]:
+            for w in words(r["text"]):
+                count.setdefault((r["lang"], 0), Counter())[w] += 1
+    langs = sorted({lang for lang, _ in count})
+    for lang in langs:
+        for w, n in count[lang, 0].items():
+            for size in range(1, 5):
+                c = count.setdefault((lang, size), Counter())
+                for g in (f" {w} "[i : i + size] for i in range(len(w) + 3 - size)):
+                    if g.strip():
+                        c[g] += n
+    total = {k: c.total() for k, c in count.items()}
+    seen = {}
+
+    def penalties(kind, x):
+        if any(x in count[lang, kind] for lang in langs):
+            return [min(7 * math.log(10), -math.log(count[lang, kind][x] / total[lang, kind])) if count[lang, kind][x] else 7 * math.log(10) for lang in langs]
+
+    def score(w):
+        got = penalties(0, w)
+        for size in range(4, 0, -1):
+            if got:
+                break
+            grams = [p for i in range(len(w) + 3 - size) if (p := penalties(size, f" {w} "[i : i + size]))]
+            got = [sum(x) / len(grams) for x in zip(*grams)] if grams else None
+        return got
+
+    got = {r["doc_id"]: r for r in op9_langid(spark, SF).collect()}
+    for r in rows:
+        sums = [0.0] * len(langs)
+        for w in words(r["text"] or ""):
+            if w not in seen:
+                seen[w] = score(w)
+            sums = [a + b for a, b in zip(sums, seen[w] or sums)] if seen[w] else sums
+        best = min(range(len(langs)), key=lambda i: sums[i])
+        assert got[r["doc_id"]]["lang_pred"] == langs[best]
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / sum(math.exp(min(700, sums[best] - s)) for s in sums), rel=1e-3)
+
+
+@pytest.mark.parametrize("text", ["\u00b2\u00bd 12 \u2167", "12 34 _ \u0661", "\u0301 \u20ac!", ""])
+def test_no_letters(spark, text):
+    df = spark.createDataFrame([(1, text, "en"), (3, "words here", "en")], "doc_id long, text string, lang string")
+    m = langid.train_model(df, F.lit(True))
+    got = {r["doc_id"]: r for r in langid.predict(df.withColumns({"row": F.lit(1), "__text": F.lit(2)}), m, ["doc_id", "row"]).collect()}
+    assert got[1]["lang_pred"] == "und" and got[1]["score"] == 0.0 and got[3]["lang_pred"] == "en" and got[3]["known"] == 1.0 and got[3]["n_words"] == 2
+
+
 def test_languages_odd_rows(spark):
     got = {}
     for r in langid.identify(documents(spark)).collect():

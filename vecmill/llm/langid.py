@@ -9,11 +9,12 @@ one, scored by their mean. A text's score is the sum over its words (Jauhiainen
 All training texts are counted, whole, and the model keeps every counted word and n-gram.
 It is a table in files of the shared folder, cut into parts by the features' 64-bit hashes
 and sorted by them, which workers map into memory and search: neither driver nor broadcast
-holds it, and mapped pages are the system's to drop. Two of n features share a hash with
+holds it, and mapped pages are the system's to drop. Where the shared folder is no file
+system of the machine, a worker holds the parts that it read last, up to ``HELD_BYTES``. Two of n features share a hash with
 probability n^2 / 2^65 (5e-8 for a million), and one that isn't there is taken for one
 that is with n / 2^64.
 
-A text that is null or has no letter is ``und`` with score 0. One with letters of which
+A text that is null or has no letter (Unicode's category L) is ``und`` with score 0. One with letters of which
 the model knows nothing gets the language with most training words. Rows without a
 language or id are not learned from. An empty training set knows no language: ``und``.
 """
@@ -21,23 +22,23 @@ language or id are not learned from. An empty training set knows no language: ``
 from __future__ import annotations
 
 import math
-import os
 import re
-import shutil
-import tempfile
 import uuid
 from collections import Counter
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held, new_folder, release, slices, text_batches, written
+from .unicode_classes import LETTERS as LETTER
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(f"[{LETTER}]+")
+HELD_BYTES = 256 << 20
 PENALTY = 7.0 * math.log(10)
 COUNTED = "lang string, kind int, feature string, n long"
 
@@ -105,7 +106,7 @@ def count_grams(words: DataFrame, longest: int, most: int = 200_000) -> DataFram
 
 def feature_key(kind: int, feature: str) -> int:
     """64 bits of a word (kind 0) or an n-gram, whose length tells its kind."""
-    return int.from_bytes(blake2b((("g" if kind else "w") + feature).encode(), digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(("g" if kind else "w") + feature)
 
 
 def store(counts: DataFrame, totals: dict[tuple[str, int], int], langs: list[str], size: int = 250_000) -> tuple[str, dict[int, str], int]:
@@ -172,8 +173,10 @@ class Model:
 
     def word(self, w: str) -> np.ndarray | None:
         known = self.find(0, w)
-        if known is not None:
-            return known
+        return self.backoff(w) if known is None else known
+
+    def backoff(self, w: str) -> np.ndarray | None:
+        """The mean over the longest n-grams of which one is known."""
         padded = f" {w} "
         for size in range(self.longest, 0, -1):
             found = [r for i in range(len(padded) - size + 1) if (r := self.find(size, padded[i : i + size])) is not None]
@@ -181,6 +184,28 @@ class Model:
                 return np.sum(found, axis=0) / len(found)
         return None
 
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its penalties (zeros where nothing is known), whether it has any, whether
+        it is itself known, and 1."""
+        n = len(self.langs)
+        out = np.zeros((len(words), n + 3), np.float32)
+        out[:, n + 2] = 1
+        known = self.known(words, out)
+        out[known, n : n + 2] = 1
+        for i in np.flatnonzero(~known).tolist():
+            row = self.backoff(words[i])
+            if row is not None:
+                out[i, :n], out[i, n] = row, 1
+        return out
+
+    def known(self, words: list[str], out: np.ndarray) -> np.ndarray:
+        """Which words are known; their penalties are put into out."""
+        rows = [self.find(0, w) for w in words]
+        for i, row in enumerate(rows):
+            if row is not None:
+                out[i, : len(self.langs)] = row
+        return np.array([r is not None for r in rows], bool)
+
 
 class StoredModel(Model):
     """A model in files; n-grams that were asked for are kept, up to ``most``."""
@@ -188,36 +213,37 @@ class StoredModel(Model):
     def __init__(self, folder: str, paths: dict[int, str], bits: int, totals: dict[str, int], longest: int, most: int = 50_000):
         super().__init__([], totals)
         self.folder, self.paths, self.shift, self.longest, self.most = folder, paths, 64 - bits, longest, most
-        self.parts, self.grams = {}, {}
+        self.parts, self.grams, self.bytes = {}, {}, 0
 
     def __getstate__(self):
-        return self.__dict__ | {"parts": {}, "grams": {}}
+        return self.__dict__ | {"parts": {}, "grams": {}, "bytes": 0}
 
     def part(self, number: int) -> tuple[np.ndarray, ...] | None:
+        if number in self.parts:
+            got = self.parts[number] = self.parts.pop(number)
+            return got
         path = self.paths.get(number)
         if path is None:
             return None
         fs, _ = pafs.FileSystem.from_uri(self.folder)
-        if not isinstance(fs, pafs.LocalFileSystem):  # a copy for all workers of this machine
-            copy = os.path.join(tempfile.gettempdir(), f"vecmill-{path.rsplit('/', 1)[-1]}")
-            if not os.path.exists(copy):
-                with fs.open_input_stream(path, compression=None) as f, open(f"{copy}.{uuid.uuid4().hex}", "wb") as to:
-                    shutil.copyfileobj(f, to)
-                os.replace(to.name, copy)
-            path = copy
-        raw = np.asarray(np.memmap(path, np.uint8, "r"))
+        if isinstance(fs, pafs.LocalFileSystem):
+            raw = np.asarray(np.memmap(path, np.uint8, "r"))
+        else:
+            with fs.open_input_file(path) as f:
+                raw = np.frombuffer(f.read(), np.uint8)
+            self.bytes += len(raw)
+            while self.parts and self.bytes > HELD_BYTES:
+                self.bytes -= sum(x.nbytes for x in self.parts.pop(next(iter(self.parts)))) + 16
         n, m = raw[:16].view("<i8").tolist()
         ends = np.cumsum([16, 8 * n, 4 * n + 4, 4 * m, 4 * m])
-        return tuple(raw[a:b].view(kind) for a, b, kind in zip(ends, ends[1:], ("<u8", "<i4", "<i4", "<f4")))
+        got = self.parts[number] = tuple(raw[a:b].view(kind) for a, b, kind in zip(ends, ends[1:], ("<u8", "<i4", "<i4", "<f4")))
+        return got
 
     def find(self, kind: int, feature: str) -> np.ndarray | None:
         if kind and feature in self.grams:
             return self.grams[feature]
         key = feature_key(kind, feature)
-        number = key >> self.shift
-        if number not in self.parts:
-            self.parts[number] = self.part(number)
-        row, part = None, self.parts[number]
+        row, part = None, self.part(key >> self.shift)
         if part is not None:
             keys, starts, langs, scores = part
             at = int(keys.searchsorted(np.uint64(key)))
@@ -230,41 +256,76 @@ class StoredModel(Model):
             self.grams[feature] = row
         return row
 
-
-class _Chunks(dict):
-    """Row number of the scores of what lies between white space; row 0 scores nothing."""
+    def known(self, words: list[str], out: np.ndarray) -> np.ndarray:
+        """All words of a part at a time."""
+        known = np.zeros(len(words), bool)
+        wanted = np.array([feature_key(0, w) for w in words], np.uint64)
+        numbers = (wanted >> np.uint64(self.shift)).astype(np.int64) if self.shift < 64 else np.zeros(len(words), np.int64)
+        order = np.lexsort((wanted, numbers))
+        cut = np.flatnonzero(np.diff(numbers[order])) + 1
+        for who in np.split(order, cut) if len(words) else []:
+            part = self.part(int(numbers[who[0]]))
+            if part is None or not len(part[0]):
+                continue
+            keys, starts, langs, scores = part
+            at = np.minimum(keys.searchsorted(wanted[who]), len(keys) - 1)
+            there = keys[at] == wanted[who]
+            who, at = who[there], at[there]
+            if not len(who):
+                continue
+            known[who] = True
+            out[who, : len(self.langs)] = PENALTY
+            first = starts[at].astype(np.int64)
+            n = starts[at + 1] - first
+            cells = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out[np.repeat(who, n), langs[cells]] = scores[cells]
+        return known
+
+
+class _Chunks:
+    """Rows (as Model.words gives them) of what lies between white space, summed over its words; row 0 is
+    of what has no letter. When there are ``most`` they become the old ones and those that were old
+    are dropped, but a chunk that is met again moves on."""
 
     def __init__(self, model: Model, most: int):
-        super().__init__()
         self.model, self.most = model, most
-        self.table = np.zeros((most + 20_000, len(model.langs)), np.float32)
-        self.start()
-
-    def start(self):
-        self.clear()
-        self.table[:] = 0
+        self.rows: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.table = self.old_table = np.zeros((1, len(model.langs) + 3), np.float32)
         self.used = 1
 
-    def grow(self):
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table[:20_000])])
-
-    def __missing__(self, chunk: str) -> int:
-        if chunk.isalpha():
-            words = [chunk]
-        else:
-            words = LETTERS.findall(chunk)
-            if len(words) == 1:  # a word and marks: as the word alone, and not kept
-                return self[words[0]]
-        rows = [r for r in map(self.model.word, words) if r is not None]
-        if not rows:
-            self[chunk] = 0
-            return 0
-        self.grow()
-        self.table[self.used] = rows[0] if len(rows) == 1 else np.sum(rows, axis=0)
-        self[chunk] = self.used
-        self.used += 1
-        return self.used - 1
+    def _add(self, rows: np.ndarray) -> range:
+        start, end = self.used, self.used + len(rows)
+        if end > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((end - len(self.table) + 20_000, self.table.shape[1]), np.float32)])
+        self.table[start:end] = rows
+        self.used = end
+        return range(start, end)
+
+    def learn(self, chunks: set[str]) -> None:
+        """Finds rows for chunks that have none."""
+        if len(self.rows) > self.most:
+            self.old, self.old_table = self.rows, self.table[: self.used].copy()
+            self.rows, self.used = {}, 1
+        fresh = chunks.difference(self.rows)
+        parts = {c: [c] if c.isalpha() else LETTERS.findall(c) for c in fresh}
+        words = [w for w in set().union(*parts.values()) if w not in self.rows]
+        again = [w for w in words if w in self.old]
+        self.rows.update(zip(again, self._add(self.old_table[[self.old[w] for w in again]])))
+        new = [w for w in words if w not in self.old]
+        self.rows.update(zip(new, self._add(self.model.words(new))))
+        for chunk, of in parts.items():
+            if len(of) == 1:
+                self.rows[chunk] = self.rows[of[0]]
+            elif of:
+                self.rows[chunk] = self._add(self.table[[self.rows[w] for w in of]].sum(axis=0, keepdims=True))[0]
+            else:
+                self.rows[chunk] = 0
+
+    def sums(self, texts: list[list[str]]) -> list[np.ndarray]:
+        self.learn(set().union(*texts))
+        get = self.rows.__getitem__
+        return [self.table[np.fromiter(map(get, t), np.int64, len(t))].sum(axis=0, dtype=np.float64) for t in texts]
 
 
 def train_model(docs: DataFrame, trains: Column, text_col: str = "text", lang_col: str = "lang", longest: int = 4) -> Model:
@@ -279,39 +340,37 @@ def train_model(docs: DataFrame, trains: Column, text_col: str = "text", lang_co
     return StoredModel(*store(counts, totals, sorted(of_words)), of_words, longest)
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", most: int = 150_000) -> DataFrame:
-    """The named columns, lang_pred and score (the winner's share of likelihood, 0 to 1)."""
+def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", most: int = 100_000) -> DataFrame:
+    """The named columns, lang_pred, score (the winner's share of likelihood, 0 to 1), n_words (runs of
+    letters) and known (the share of them that the model learned)."""
     spark = docs.sparkSession
     text_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     number = f"languages {uuid.uuid4().hex}"  # workers outlive models
-    where = docs.schema
 
     def run(batches):
         chunks = held(number, lambda: _Chunks(sent.value, most))
         langs = chunks.model.langs
         for b in slices(batches):
-            if len(chunks) > most:
-                chunks.start()
-            names, scores = [], []
-            for text in b["__text"].to_pylist():
-                if text is None or not langs or not LETTERS.search(text):
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                rows = np.fromiter(map(chunks.__getitem__, text.lower().split()), np.int64)
-                if not rows.any():
-                    names.append(chunks.model.prior)
-                    scores.append(chunks.model.share)
-                    continue
-                s = chunks.table[rows].sum(axis=0, dtype=np.float64)
-                best = int(s.argmin())
-                names.append(langs[best])
-                scores.append(float(1.0 / np.exp(np.minimum(s[best] - s, 0.0)).sum()))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in columns), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
-
-    schema = ", ".join(f"`{c}` {where[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+            texts = [t if t is not None and langs and LETTERS.search(t) else "" for t in b["text"].to_pylist()]
+            out = []
+            for text, s in zip(texts, chunks.sums([t.lower().split() for t in texts])):
+                scored, known, words = s[len(langs) :].tolist()
+                s = s[: len(langs)]
+                if not text or not words:
+                    out.append(("und", 0.0, 0, 0.0))
+                elif not scored:
+                    out.append((chunks.model.prior, chunks.model.share, int(words), 0.0))
+                else:
+                    best = int(s.argmin())
+                    out.append((langs[best], float(1.0 / np.exp(np.minimum(s[best] - s, 0.0)).sum()), int(words), known / words))
+            new = zip(zip(*out), (pa.string(), pa.float64(), pa.int64(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b["row"].field(i) for i in range(len(columns))), *(pa.array(c, t) for c, t in new)], names)
+
+    added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("known", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in columns] + added.fields)
+    names = schema.fieldNames()
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

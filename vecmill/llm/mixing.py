@@ -23,16 +23,17 @@ from pyspark.sql import functions as F
 
 from .common import WORD, written
 
-SIZES = "doc_id long, source string, size long, h long"
+#: How often a task repeats one row at most, where it is spread.
+PART = 4096
 
 
 def n_words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def row_hash(seed: int, id_col: str = "doc_id", text_col: str = "text") -> Column:
+def row_hash(seed: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Column:
     """What decides which documents of a length are taken."""
-    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(source_col), F.col(source_col).isNull())
 
 
 def targets(totals: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -102,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """doc_id, source, size, source_size, target, taken (words of the document that the mix takes)
     copies (how often it takes the document) and h (row_hash), a row for each document."""
     text = F.col(text_col)
-    sizes = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(text).alias("size"), row_hash(seed, id_col, text_col).alias("h")), "sizes")
+    sizes = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(text).alias("size"), row_hash(seed, id_col, text_col, source_col).alias("h")), "sizes")
     hist = written(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     goal = targets(totals, weights, share, most)
@@ -137,15 +138,26 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "h")
 
 
-def take(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them. Documents of no words have no part in a mix."""
-    plan = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **options).where("copies > 0")
-    plan = written(plan.groupBy(F.col("h").alias("__h")).agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows")), "taken")
-    keyed = docs.withColumn("__h", row_hash(seed, id_col, text_col))
-    repeated = lambda df: df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
-    once = repeated(keyed.join(plan.where("__rows = 1"), "__h"))
-    several = plan.where("__rows > 1")  # rows that are the same: one of them stands for all
+def take(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them. Documents of no words have no part in a mix.
+    Rows of the same id, text and source are told apart by their other columns, which must be of
+    kinds that can be grouped; rows that agree in all are counted, not gathered."""
+    plan = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    # Rows of one key have one source and size: copies are ``least``, or one more for ``more`` of them.
+    plan = plan.groupBy("doc_id", "h").agg(F.count("*").alias("rows"), F.min("copies").alias("least"), F.sum("copies").alias("copies")).where("copies > 0")
+    plan = written(plan.select(F.col("doc_id").alias("of"), F.col("h").alias("hash"), "rows", "least", (F.col("copies") - F.col("rows") * F.col("least")).alias("more")), "taken")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), row_hash(seed, id_col, text_col, source_col).alias("h"))
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("hash"))
+    one = keyed.join(plan.where("rows = 1"), same).withColumn("n", F.col("least") + F.col("more"))
+    once = one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
+    several = plan.where("rows > 1")
     if not several.limit(1).count():
         return once
-    one = keyed.join(several, "__h", "left_semi").groupBy("__h").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return once.unionByName(repeated(one.join(several, "__h").select("row.*", "__copies")))
+    kinds = keyed.join(several, same, "left_semi").groupBy("id", "h", "row").agg(F.count("*").alias("here"))
+    before = F.coalesce(F.sum("here").over(Window.partitionBy("id", "h").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    many = kinds.withColumn("before", before).join(several, same)
+    many = many.withColumn("n", F.col("here") * F.col("least") + F.least(F.greatest(F.col("more") - F.col("before"), F.lit(0)), F.col("here"))).where("n > 0")
+    # A row that is there very often is spread over tasks before it is repeated.
+    many = many.select("row", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PART))).alias("part")).repartition("part", F.xxhash64("row"))
+    many = many.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(PART), F.col("n") - F.col("part") * PART).cast("int"))))
+    return once.unionByName(many.select("row.*"))

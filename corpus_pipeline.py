@@ -19,19 +19,24 @@ from vecmill.llm.quality import keep_good
 from vecmill.llm.superminhash import near_duplicates
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The least share of learned words, and from how many words on it is asked for.
+KNOWN, FEW_WORDS = 0.2, 5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the hierarchical classifier gives less than even odds."""
+    """Drops the documents that the hierarchical classifier gives less than even odds. Null and empty
+    texts are judged by their features like others; without labels all stay."""
     return keep_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letters, or none that the model is surer of than not.
-    It learns from all documents' languages."""
+    """Drops documents without a language: no letters, or (of ``FEW_WORDS`` words or more) less than
+    ``KNOWN`` of the words learned. It learns from the texts and languages of all its documents, so what
+    goes is noise and text of a language that has no name here. A null text has no letters."""
     model = train_model(docs, F.lit(True))
-    return predict(docs, model, list(COLUMNS)).where("lang_pred <> 'und' and score >= 0.5").select(*COLUMNS)
+    found = predict(docs, model, list(COLUMNS))
+    return found.where((F.col("lang_pred") != "und") & ((F.col("n_words") < FEW_WORDS) | (F.col("known") >= KNOWN))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +59,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids by the automaton and their decoding, as digests: a row for each copy in the mix."""
+    """Ids by the automaton and their decoding, as digests: a row for each copy in the mix. A null or
+    empty text has no ids."""
     return round_trip_digests(docs, TOKENIZER)
 
 

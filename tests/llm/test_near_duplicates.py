@@ -74,8 +74,8 @@ def test_blocks_find_what_leaders_miss(spark):
     """Links within a bucket are found whatever the blocks."""
     rows = [(i, edited(prose(60, i // 4), 0.03, i), "en", "a", 1) for i in range(32)]
     sig = S.signatures(documents(spark, rows), 20, 4, "doc_id", "text")
-    sets = S.sets_of(documents(spark, rows), sig, "doc_id", "text")
-    members = sig.selectExpr("1L as key", "id", "h1", "id as component")
+    sets = S.sets_of(documents(spark, rows), sig, sig.limit(0).select("id", "h1", "h2"), "doc_id", "text")
+    members = sig.selectExpr("1L as key", "id", "h1", "n", "id as component")
     links = C.components(S.confirm_blocks(members, sets, 85, block=5)).collect()
     got = {r["node"]: r["component"] for r in links}
     assert {d: got.get(d, d) for d, *_ in rows} == {r[0]: r[2] for r in brute(rows)}

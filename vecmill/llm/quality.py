@@ -209,6 +209,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = 0.5, host: Colum
         x = np.array([features(t.as_py()) for t in text], float).reshape(len(text), len(FEATURES))
         return pa.array(_evidence(x, w, mean, scale))
 
+    evidence = evidence.asNondeterministic()  # else the filter has it computed twice
     host, path = site(host, path)
     table = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), host.alias("host"), path.alias("path"), evidence(F.col(text_col)).alias("evidence"))
     return model.decide(table, keep).where("kept").select("row.*")

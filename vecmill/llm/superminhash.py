@@ -188,21 +188,28 @@ def signatures(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: st
     return src.mapInArrow(run, "id long, n long, h1 long, h2 long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, most_broadcast: int = 1_000_000) -> DataFrame:
-    """id, h1, set (binary of sorted uint64): the full sets of the wanted (id, n, h1, h2) classes.
-    The wanted ids are broadcast only where there are at most a million of them (8 MB)."""
-    ids = wanted.select(F.col("id"))
-    side = F.broadcast(ids) if wanted.count() <= most_broadcast else ids
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(side, "id", "left_semi")
+def sets_of(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, id_col: str, text_col: str, most_broadcast: int = 1_000_000) -> DataFrame:
+    """id, h1, set (binary of sorted uint64): the full sets of the wanted (id, h1, h2) classes, one row
+    each. They are broadcast only where there are at most a million of them (24 MB). ``repeated`` has the
+    (id, h1, h2) of which there are several rows; only their sets are shuffled."""
+    side = wanted.select("id", F.col("h1").alias("w1"), F.col("h2").alias("w2"))
+    side = F.broadcast(side) if wanted.count() <= most_broadcast else side
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(side, "id")
 
     def run(batches):
         for b in slices(batches, 256, 1 << 18):
             sets, at = shingle_sets(b["text"])
             h1, h2 = set_hash(sets, at)
-            cut = at.tolist()
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(h1), pa.array(h2), pa.array([sets[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], ["id", "h1", "h2", "set"])
+            own = np.flatnonzero((h1 == b["w1"].to_numpy()) & (h2 == b["w2"].to_numpy()))  # an id may have other texts
+            parts = [sets[at[i] : at[i + 1]].tobytes() for i in own.tolist()]
+            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(own)), pa.array(h1[own]), pa.array(h2[own]), pa.array(parts, pa.binary())], ["id", "h1", "h2", "set"])
 
-    return src.mapInArrow(run, "id long, h1 long, h2 long, set binary").join(wanted.select("id", "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("id", "h1", "set")
+    sets = written(src.mapInArrow(run, "id long, h1 long, h2 long, set binary"), "sets")
+    if repeated.limit(1).count():
+        keys = ["id", "h1", "h2"]
+        twice = sets.join(repeated, keys, "left_semi").groupBy(keys).agg(F.first("set").alias("set"))
+        sets = sets.join(repeated, keys, "left_anti").unionByName(twice)
+    return sets.select("id", "h1", "set")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -240,27 +247,37 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, group: int = 500) -
 
 
 def confirm_blocks(members: DataFrame, sets: DataFrame, percent: int, block: int = 128) -> DataFrame:
-    """Links between bucket members (key, id, h1, component) of different components. A bucket is cut
-    into blocks of about ``block`` members; each pair of blocks is one group of at most about
-    2 * block sets, whose pairs are compared where they lie and joined by union-find: only
-    links that tie components together come out, never all pairs."""
-    counted = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    m = members.join(counted, "key").withColumn("b", F.pmod(F.xxhash64("id", "h1", "key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = m.withColumn("o", other).select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "id", "h1", "component", "b")
-    rows = spread.join(sets, ["id", "h1"])
+    """Links between bucket members (key, id, h1, n, component) of different components. Set sizes fall
+    into classes such that linked sets are of one class or of neighbours; a bucket's members of a class
+    are cut into blocks of about ``block``. Each pair of blocks that can hold a link is one group
+    of at most about 2 * block sets, whose pairs are compared where they lie and joined by
+    union-find: only links that tie components together come out, never all pairs."""
+    m = members.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / float(1.001 * np.log(100 / percent)) if percent < 100 else F.col("n")).cast("long"))
+    counted = m.groupBy("key", "c").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    m = m.join(counted, ["key", "c"]).withColumn("b", F.pmod(F.xxhash64("id", "h1", "key"), F.col("blocks")).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = m.withColumn("o", every("blocks")).select("key", F.col("c").alias("low"), F.lit(0).alias("up"), F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "id", "h1", "component", F.col("b").alias("side"))
+    above = counted.select("key", (F.col("c") - 1).alias("c"), F.col("blocks").alias("others"))
+    below = counted.select("key", (F.col("c") + 1).alias("c"), F.col("blocks").alias("others"))
+    upward = m.join(above, ["key", "c"]).withColumn("o", every("others")).select("key", F.col("c").alias("low"), F.lit(1).alias("up"), F.col("b").alias("x"), F.col("o").alias("y"), "id", "h1", "component", F.lit(-1).alias("side"))
+    downward = m.join(below, ["key", "c"]).withColumn("o", every("others")).select("key", (F.col("c") - 1).alias("low"), F.lit(1).alias("up"), F.col("o").alias("x"), F.col("b").alias("y"), "id", "h1", "component", F.lit(-2).alias("side"))
+    group = ["key", "low", "up", "x", "y"]
+    spread = own.unionByName(upward).unionByName(downward)
+    # Sets go only to groups that hold two components.
+    open_ = spread.groupBy(*group).agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select(*group)
+    rows = spread.join(open_, group, "left_semi").join(sets, ["id", "h1"])
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, b = (table[c].to_pylist() for c in ("id", "component", "b"))
+        ids, comp, side = (table[c].to_pylist() for c in ("id", "component", "side"))
         arrays = [np.frombuffer(s.as_buffer(), np.uint64) for s in table["set"]]
-        same = len(set(b)) == 1
+        same = len(set(side)) == 1 and side[0] >= 0
         order = sorted(range(len(ids)), key=lambda i: len(arrays[i]))
         known, us, vs = UnionFind(), [], []
         for x, i in enumerate(order):
             for j in order[x + 1 :]:
                 if 100 * len(arrays[i]) < percent * len(arrays[j]):
                     break
-                if not same and b[i] == b[j] or known.find(comp[i]) == known.find(comp[j]):
+                if not same and side[i] == side[j] or known.find(comp[i]) == known.find(comp[j]):
                     continue
                 if _linked(arrays[i], arrays[j], percent):
                     known.union(comp[i], comp[j])
@@ -268,7 +285,7 @@ def confirm_blocks(members: DataFrame, sets: DataFrame, percent: int, block: int
                     vs.append(ids[j])
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return rows.groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long")
+    return rows.groupBy(*group).applyInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 20, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,18 +296,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 20, rows: i
     # One class for each different set; all rows of a class have the same n and bands.
     classes = written(full.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     same = full.select("h1", "h2", F.col("id").alias("u")).join(classes.select("h1", "h2", F.col("id").alias("v")), ["h1", "h2"]).where("u <> v").select("u", "v")
-    keyed = classes.select("id", "h1", F.explode("bands").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min(F.struct("id", "h1")).alias("leader"), F.count("*").alias("size")).where("size > 1")
-    crowd = written(keyed.join(leaders, "key").select("key", "id", "h1", F.col("leader.id").alias("u"), F.col("leader.h1").alias("uh"), "size"), "buckets")
-    pairs = crowd.where("id <> u or h1 <> uh").select("u", "uh", F.col("id").alias("v"), F.col("h1").alias("vh")).distinct()
-    wanted = classes.join(crowd.select("id", "h1").distinct(), ["id", "h1"], "left_semi").select("id", "n", "h1", "h2")
-    sets = written(sets_of(docs, wanted, id_col, text_col), "sets")
+    keyed = classes.select("id", "h1", "n", F.explode("bands").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min(F.struct("id", "h1", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1")
+    crowd = written(keyed.join(leaders, "key").select("key", "id", "h1", "n", F.col("leader.id").alias("u"), F.col("leader.h1").alias("uh"), F.col("leader.n").alias("un"), "size"), "buckets")
+    near = F.least("n", "un") * 100 >= F.greatest("n", "un") * percent  # sets of other sizes can't be linked
+    pairs = crowd.where("id <> u or h1 <> uh").where(near).select("u", "uh", F.col("id").alias("v"), F.col("h1").alias("vh")).distinct()
+    wanted = classes.join(crowd.select("id", "h1").distinct(), ["id", "h1"], "left_semi").select("id", "h1", "h2")
+    repeated = written(full.groupBy("id", "h1", "h2").count().where("count > 1").drop("count"), "repeated")
+    sets = sets_of(docs, wanted, repeated, id_col, text_col)
     links = written(confirm(pairs, sets, percent), "links")
     edges = same.union(links)
     found = written(components(edges), "components")
     # Buckets whose members are not of one component yet: compare what the leader did not settle.
-    wide = crowd.where("size > 2").select("key", "id", "h1")
-    placed = wide.join(found, wide.id == found.node, "left").select("key", "id", "h1", F.coalesce("component", "id").alias("component"))
+    wide = crowd.where("size > 2").select("key", "id", "h1", "n")
+    placed = wide.join(found, wide.id == found.node, "left").select("key", "id", "h1", "n", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     rest = written(confirm_blocks(placed.join(split, "key", "left_semi"), sets, percent), "more-links")
     if rest.limit(1).count():

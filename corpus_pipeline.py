@@ -21,6 +21,8 @@ from vecmill.llm.superminhash import near_duplicates
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The least share of learned words, and from how many words on it is asked for.
 KNOWN, FEW_WORDS = 0.2, 5
+#: Up to so many ids (8 MB) are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -44,7 +46,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id, one. Rows without a doc_id stay."""
     groups = near_duplicates(docs)
     gone = written(groups.where("not kept").select("doc_id").distinct(), "gone")
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    few = gone.count() <= MOST_BROADCAST
+    kept = docs.select(*COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
     twice = written(groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
     if not twice.limit(1).count():
         return kept

@@ -66,20 +66,42 @@ def test_large_components_are_exact():
     assert T.exact(np.array([[1e30]]), np.array([[1e30], [-1e30]])).tolist() == [[2**63 - 1, -(2**63)]]
 
 
-def test_tree_covers():
-    x = np.random.default_rng(0).standard_normal((500, 2))
-
-    def check(node):
-        assert np.sqrt(((x[node.rows] - node.centre) ** 2).sum(1)).max() <= node.radius + 1e-9
-        if node.children:
-            assert sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
-            for c in node.children:
-                assert c.radius <= node.radius / 2 + 1e-9
-                check(c)
-
-    root = T.cover_tree(x, leaf=8)
-    assert root.children
-    check(root)
+@pytest.mark.parametrize("d,n", [(2, 500), (64, 400), (3, 1), (2, 0)])
+def test_tree_covers(d, n):
+    rng = np.random.default_rng(0)
+    x = np.floor(64 * rng.standard_normal((n, d))) if n else np.zeros((1, d))
+    x = np.concatenate([x, x[:5]])  # repeated points
+    t = T.CoverTree(x)
+    assert len(t.rows[0]) == 1 and t.rows[-1].tolist() == list(range(len(x)))
+    if d == 2 and n:
+        assert len(t.rows) > 4
+    for level, (rows, above, radius) in enumerate(zip(t.rows, t.above, t.radius)):
+        far = np.sqrt(((x - x[rows[above]]) ** 2).sum(1))
+        assert (far <= radius[above] + 1e-9).all()
+        if 0 < level < len(t.rows) - 1:
+            assert set(t.rows[level - 1]) <= set(rows)
+            gaps = np.sqrt(((x[rows][:, None] - x[rows][None]) ** 2).sum(2)) + np.eye(len(rows)) * 1e9
+            assert gaps.min() > t.apart[level] - 1e-6 and np.sqrt(((x[:, None] - x[rows][None]) ** 2).sum(2)).min(1).max() <= t.apart[level] + 1e-6
+        if level:
+            assert (t.above[level - 1] == t.parent[level][above]).all()
+
+
+def test_pruning(spark):
+    """Clustered vectors: most pairs are never scored, and the results are the same."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((30, 8))
+    x = centres[rng.integers(0, 30, 2000)] * 4 + 0.02 * rng.standard_normal((2000, 8))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
+    counts = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, T.top_k(df, F.col("vec_id") % 50 == 0, 5, block=500, counts=counts).collect()))
+    ints = np.floor(64 * x.astype(np.float32).astype(float)).astype(int)
+    want = []
+    for q in range(0, 2000, 50):
+        scored = sorted((-int(s), i) for i, s in enumerate(ints @ ints[q]) if i != q)[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    assert got == sorted(want)
+    assert counts[0].value == 40 * 2000 and 0 < counts[1].value < 0.5 * counts[0].value
 
 
 def test_records_survive_packing():

@@ -365,6 +365,69 @@ def test_page(html, text):
     assert H.main_text(html) == text
 
 
+WORDS = ("Long text of an article. " * 9).strip()
+
+
+@pytest.mark.parametrize(
+    "inner,text",
+    [
+        ("See <a href='/page?id=comments'>the talk page</a>.", "See the talk page."),
+        ("x</p><p title='a hidden gem'>gem", "x\n\ngem"),
+        ("x</p><p data-id='share-42' data-state=\"hidden\" data-role=menu>kept", "x\n\nkept"),
+        ("x</p><p data-x='a\" class=\"ad'>kept", "x\n\nkept"),
+        ("x</p><p class='menu-of-the-day'>soup</p><p class='promo-caption'>cap</p><p class='notice-text'>law", "x\n\nsoup\n\ncap\n\nlaw"),
+        ("x</p><p hidden>gone</p><p style='color:red; display : none'>gone</p><p class='ad'>gone</p><p>y", "x\n\ny"),
+        ("\u0130" * 40 + "</p><script>var x = '<p>';</SCRIPT ><p>kept one</p><script>2</script><p>kept two", "\u0130" * 40 + "\n\nkept one\n\nkept two"),
+        ("x</p><style>a</styles></style><p>y", "x\n\ny"),
+    ],
+)
+def test_attributes_and_scripts(inner, text):
+    assert H.main_text(f"<body><nav>m</nav><article><p>{inner}</p><p>{WORDS}</p></article></body>") == text + "\n\n" + WORDS
+
+
+def test_lead_and_closing_parts():
+    html = f"<body><div id=nav><a href=a>Menu</a></div><div><h1>T</h1></div><div class=lead><p>A short lead.</p></div><div class=story><p>{WORDS}</p><p>{WORDS}</p></div><div><p>The end.</p></div><div><p>See <a href=b>more of it</a></p></div><footer><p>f</p></footer></body>"
+    assert H.main_text(html) == f"T\n\nA short lead.\n\n{WORDS}\n\n{WORDS}\n\nThe end."
+
+
+def slow_sums(page):
+    """Density sums from the formula, each subtree counted anew."""
+    below = {i: [j for j in range(len(page.tag)) if i in set(up(page, j))] for i in range(len(page.tag))}
+    own = [(c, k) for c, k in zip(page.chars, page.links)]
+    body = sum(c for c, _ in own), sum(k for _, k in own)
+
+    def density(i):
+        inside = [i, *below[i]]
+        c, k = sum(own[j][0] for j in inside), sum(own[j][1] for j in inside)
+        t, lt = max(1, len(below[i])), max(1, sum(page.tag[j] == "a" for j in below[i]))
+        if not c:
+            return 0.0
+        base = np.log(c / max(1, c - k) * max(1, k) + body[1] / max(1, body[0]) * c + np.e)
+        return max(0.0, c / t * np.log(c / max(1, k) * t / lt) / np.log(base))
+
+    d = [density(i) for i in range(len(page.tag))]
+    return [sum(d[j] for j in range(len(page.tag)) if page.parent[j] == i) for i in range(len(page.tag))]
+
+
+def up(page, i):
+    while i > 0:
+        i = page.parent[i]
+        yield i
+
+
+def test_density_sums_against_the_formula(spark):
+    for r in table(spark, "pages").orderBy(F.length("html")).limit(40).collect():
+        page = H.Page(r["html"])
+        want = slow_sums(page)
+        _, got = page.densities()
+        assert got == pytest.approx(want)
+
+
+def test_long_page():
+    body = " ".join(f"<p>{WORDS} {i}</p>" for i in range(20_000))
+    assert H.main_text(f"<article>{body}</article>").count("\n\n") == 19_999
+
+
 @pytest.mark.parametrize("wrapper", ['class="content has-sidebar"', 'id="page-with-comments"', 'class="widget-text"', 'class="share-post"', 'class="widget"', 'id="noSidebar"'])
 @pytest.mark.parametrize("tag", ["article", "section"])
 def test_wrapper_named_for_noise(wrapper, tag):

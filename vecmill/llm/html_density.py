@@ -16,9 +16,13 @@ subtree, and Cb, LCb of the body (Sun, Song and Liao, "DOM based content extract
 text density"). An element's density sum is that of its children; the greatest sum names
 the subtree of the text, raised to the container that it belongs to. The least density on
 the path from there to the body is the threshold by which siblings along the path belong
-to the text, too, if links don't make up half of them.
+to the text, too, if links don't make up half of them. Where no article or main holds the
+text, so do siblings of less density that have paragraphs or headings and no link at all,
+such as a short lead or a closing line in an element of its own.
 
 Blocks are the runs of text between block-level tags. A null or empty page has the text "".
+Each row is a page of its own, repeated ids and all; ids and urls may be null, an empty table
+gives no rows, and columns but the named ones are left out, whatever they are called.
 """
 
 from __future__ import annotations
@@ -55,7 +59,11 @@ LAYOUT = frozenset("area bar block bottom box button buttons cell col column con
 BESIDE = frozenset("has with without no not".split())
 MUCH = 10.0
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
+#: One attribute after another, so that values and longer names are never taken for attributes.
+ATTR = re.compile(r"""([^\s"'>/=][^\s"'>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'|=\s*[^\s"'>]*""", re.S)
+WANTED = re.compile("class|id|role|hidden|style", re.I)
+END = {t: re.compile(f"</{t}(?=[\\s/>]|\\Z)", re.I) for t in RAW}
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -79,12 +87,12 @@ def _noise(tag: str, attrs: str, inside: bool) -> int:
     """2 if an element is no part of any article by its kind, role or hiding, 1 if by its class or id, else 0."""
     if tag in DROPPED or tag == "header" and not inside:
         return 2
-    if not attrs or tag in ("body", "html"):
+    if not attrs or tag in ("body", "html") or not WANTED.search(attrs):
         return 0
     named = 0
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
+        if name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             return 2
         if name == "role" and value.lower() in ROLES:
             return 2
@@ -115,7 +123,7 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack = [(0, "#", False, False, False)]  # element, tag, dropped, inside of article, inside of link
-        at, size, lower = 0, len(html), None
+        at, size = 0, len(html)
         search, runs = TAG.search, self.runs
         while at < size:
             m = search(html, at)
@@ -168,14 +176,9 @@ class Page:
                 if noise:
                     self.named.append(i)
             if tag in RAW and not attrs.endswith("/"):
-                if lower is None:
-                    lower = html.lower()
-                end = lower.find("</" + tag, at)
-                if end < 0:
-                    at = size
-                else:
-                    close = html.find(">", end)
-                    at = size if close < 0 else close + 1
+                end = END[tag].search(html, at)
+                close = html.find(">", end.end()) if end else -1
+                at = size if close < 0 else close + 1
             elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK):
                 stack.append((i, tag, dropped, inside, top[4] or tag == "a"))
 
@@ -282,9 +285,14 @@ class Page:
             if self.tag[up] in CONTAINER:
                 threshold = min(threshold, density[up])
         path.discard(lifted)
+        prose = [False] * n  # what else may be of a text that no article or main holds: paragraphs without links
+        if self.tag[lifted] not in INSIDE:
+            for i in range(n - 1, 0, -1):
+                prose[i] = (prose[i] or self.tag[i] in PROSE) and self.chars[i] > 0
+                prose[self.parent[i]] |= prose[i]
         for i in range(n):
             p = self.parent[i]
-            inside[i] = not out[i] and (i == lifted or p >= 0 and inside[p] or i not in path and p in path and density[i] >= threshold and 2 * self.links[i] < self.chars[i])
+            inside[i] = not out[i] and (i == lifted or p >= 0 and inside[p] or i not in path and p in path and (density[i] >= threshold and 2 * self.links[i] < self.chars[i] or prose[i] and not self.links[i]))
         return inside
 
     def text(self) -> str:
@@ -309,12 +317,13 @@ def extract(pages: DataFrame, html_col: str = "html", columns: tuple[str, ...] =
     """op10: the columns, text and n_chars (code points) of every page. No shuffle."""
 
     text_batches(pages.sparkSession)
+    body = max(columns, key=len, default="") + "_"
 
     def run(batches):
         release()
         for b in slices(batches, 64):
-            texts = [main_text(h) for h in b["__html"].to_pylist()]
+            texts = [main_text(h) for h in b[body].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in columns), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*columns, "text", "n_chars"])
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in columns)
-    return pages.select(*columns, F.col(html_col).alias("__html")).mapInArrow(run, f"{schema}, text string, n_chars long")
+    return pages.select(*columns, F.col(html_col).alias(body)).mapInArrow(run, f"{schema}, text string, n_chars long")

@@ -44,7 +44,7 @@ from .tokens import NotCut, Words, byte_alphabet
 from .unicode_classes import PRE_SPLIT
 
 #: The arrays of a compiled automaton, in the order of its file.
-ARRAYS = ("state", "place", "starts", "bounds", "length", "label_at", "edges", "token", "labels")
+ARRAYS = ("state", "place", "starts", "bounds", "length", "label_at", "shorter", "edges", "token", "labels")
 
 
 def compile_merges(vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> dict[str, np.ndarray]:
@@ -53,7 +53,8 @@ def compile_merges(vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -
     state: where a token's arcs lead (-1: no token, or one that nothing can lead to). place: a token's
     number among arcs. starts, bounds: each state's intervals of lacking arcs. length, label_at, labels:
     the tokens' bytes. edges, token: a trie of them read backwards; edge k leads from node
-    edges[k] >> 8 by the byte edges[k] & 255 to node k + 1."""
+    edges[k] >> 8 by the byte edges[k] & 255 to node k + 1, and token is the longest that ends on the
+    way to a node. shorter: the longest other token that a token ends with."""
     size = max(vocab.values(), default=-1) + 1
     left, rank, live, cut = [-1] * size, [-1] * size, [False] * size, [{} for _ in range(size)]
     right = [-1] * size
@@ -126,23 +127,23 @@ def compile_merges(vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -
     label = [b""] * size
     for t, i in vocab.items():
         label[i] = t
-    edges, ends, todo = [], [], deque([(0, len(own), 0)])
+    edges, ends, shorter, todo = [], [], [-1] * size, deque([(0, len(own), 0, -1)])
     while todo:
-        a, b, depth = todo.popleft()
-        ends.append(-1)
+        a, b, depth, longest = todo.popleft()
         if a < b and len(own[a][0]) == depth:
-            ends[-1] = own[a][1]
+            shorter[own[a][1]], longest = longest, own[a][1]
             a += 1
+        ends.append(longest)
         while a < b:
             byte, first = own[a][0][depth], a
             while a < b and own[a][0][depth] == byte:
                 a += 1
             edges.append(len(ends) - 1 << 8 | byte)
-            todo.append((first, a, depth + 1))
+            todo.append((first, a, depth + 1, longest))
     lengths = np.array([len(t) for t in label], np.int32)
     return {
         "state": np.array([number.get(s, -1) for s in state], np.int32), "place": np.array(place, np.int32), "starts": np.array(starts, np.int32), "bounds": np.frombuffer(bounds, np.int32) if bounds else np.zeros(0, np.int32),
-        "length": lengths, "label_at": np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), "edges": np.array(edges, np.int32), "token": np.array(ends, np.int32),
+        "length": lengths, "label_at": np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), "shorter": np.array(shorter, np.int32), "edges": np.array(edges, np.int32), "token": np.array(ends, np.int32),
         "labels": np.frombuffer(b"".join(label), np.uint8),
     }
 
@@ -152,7 +153,8 @@ class MergeAutomaton:
 
     def __init__(self, tables: dict[str, np.ndarray]):
         views = {k: memoryview(np.ascontiguousarray(v)) for k, v in tables.items()}
-        self.state, self.place, self.starts, self.bounds, self.length, self.label_at = (views[k] for k in ARRAYS[:6])
+        self.state, self.place, self.starts, self.bounds, self.length, self.label_at, self.shorter = (views[k] for k in ARRAYS[:7])
+        self.longest = max(self.length, default=0)
         self.labels, self.token = views["labels"], views["token"].tolist()
         self.child = dict(zip(views["edges"].tolist(), range(1, len(self.token))))
 
@@ -172,39 +174,38 @@ class MergeAutomaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the word's accepted path."""
-        n, child, token, state, starts, bounds, place, length = len(word), self.child.get, self.token, self.state, self.starts, self.bounds, self.place, self.length
+        n, child, state, starts, bounds, place, length, shorter = len(word), self.child.get, self.state, self.starts, self.bounds, self.place, self.length, self.shorter
         last = [-1] * (n + 1)  # the label that the path of a prefix ends with
-        open_: list[tuple[int, list[int]]] = []  # prefixes in work, with the tokens that they may end with
+        back, longest = word[::-1], self.longest
+        open_: list[tuple[int, int]] = []  # prefixes in work, each with the longest token that it may end with
         end = n
-        while end > 0 or open_:
-            if end >= 0:
-                node, ends = 0, []
-                for byte in word[end - 1 :: -1]:
-                    node = child(node << 8 | byte)
-                    if node is None:
-                        break
-                    if (t := token[node]) >= 0:
-                        ends.append(t)
-                open_.append((end, ends))
-            end, ends = open_[-1]
-            while ends:
-                t = ends[-1]
+        while end:
+            node = 0
+            for byte in back[n - end : n - end + longest]:
+                there = child(node << 8 | byte)
+                if there is None:
+                    break
+                node = there
+            t = self.token[node]
+            while True:
+                if t < 0:
+                    raise ValueError(f"no path for {word!r}: the vocabulary lacks one of its bytes")
                 before = end - length[t]
                 if before:
                     label = last[before]
                     if label < 0:
+                        open_.append((end, t))
                         end = before
                         break
                     a = starts[s := state[label]]
                     if bisect_right(bounds, place[t], a, starts[s + 1]) - a & 1:
-                        ends.pop()
+                        t = shorter[t]
                         continue
                 last[end] = t
-                open_.pop()
-                end = -1
-                break
-            else:
-                raise ValueError(f"no path for {word!r}: the vocabulary lacks one of its bytes")
+                if not open_:
+                    end = 0
+                    break
+                end, t = open_.pop()
         path, at = [], n
         while at:
             path.append(last[at])
@@ -262,7 +263,7 @@ class BpeCodec:
     without that library. Special tokens in a text become their ids. Up to twice ``most``
     words are kept, which bounds memory, not what is encoded."""
 
-    def __init__(self, tables: dict[str, np.ndarray], special: dict[str, int], most: int = 100_000):
+    def __init__(self, tables: dict[str, np.ndarray], special: dict[str, int], most: int = 200_000):
         self.automaton = MergeAutomaton(tables)
         self.special = {t: str(i) for t, i in special.items()}
         self.cut_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
@@ -272,7 +273,7 @@ class BpeCodec:
         self.emits = {str(i): self.automaton.label(i) for i in range(len(self.automaton.state))} | {str(i): t.encode() for t, i in special.items()}
 
     @classmethod
-    def of(cls, path: str, most: int = 100_000) -> BpeCodec:
+    def of(cls, path: str, most: int = 200_000) -> BpeCodec:
         vocab, merges, special = read_spec(path)
         return cls(compile_merges(vocab, merges), special, most)
 

@@ -237,3 +237,41 @@ def test_streamed_codes(spark, tmp_path):
     done.awaitTermination(120)
     a = spark.read.parquet(str(tmp_path / "out")).orderBy("vec_id").collect()
     assert a == q.encode(df).orderBy("vec_id").collect()
+
+
+def test_correlation_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 5)) @ rng.standard_normal((5, 5)) + 1e6
+    x[:, 3] = 7.0
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [1.0]), (902, [float("nan")] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = np.zeros((5, 5))
+    for r in metrics.dim_correlation(df).collect():
+        got[r["i"], r["j"]] = r["r"]
+    want = np.zeros((5, 5))
+    keep = [0, 1, 2, 4]
+    want[np.ix_(keep, keep)] = np.corrcoef(x[:, keep].T)
+    assert np.allclose(got, want, atol=1e-9)
+    assert metrics.dim_correlation(df.where("false")).count() == 0
+
+
+def test_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    for x in (rng.standard_normal(3001), rng.integers(0, 3, 500) * 1.0, np.array([5.0]), np.full(100, 2.5)):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(4)
+        r = metrics.value_range(df, "x", 0.02, 0.5, 1.0, accuracy=100).first()
+        assert np.allclose(list(r), [x.min(), x.max(), *np.quantile(x, [0.02, 0.5, 1.0])])
+    assert list(metrics.value_range(df.where("false"), "x", 0.5).first()) == [None, None, None]
+
+
+def test_coding_error_is_reconstruction_error(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.standard_normal((200, 8)))], "vec_id long, embedding array<double>")
+    q = Q.fit_pq(df, 4, 3)
+    assert np.allclose(list(metrics.coding_error(q, df).first()), list(metrics.reconstruction_error(df, q.decoded(q.encode(df))).first()))
+    assert metrics.coding_error(q, df.where("false")).first()["n"] == 0
+
+
+def test_many_query_blocks_in_one_pass():
+    blocks = [(np.arange(4), np.zeros((4, 8)))] * 10
+    assert [len(p) for p in search.passes(iter(blocks), most=3 * 256)] == [3, 3, 3, 1] and list(search.passes(iter([]))) == []

@@ -133,3 +133,31 @@ def test_command_lines(spark, tmp_path, monkeypatch, capsys):
     m.write_text("".join('{"query_id":"q%d","query_parts":[{"kind":"text","value":"%d"}],"labels":["c%d"],"candidates":[{"name":"c%d","parts":[{"kind":"text","value":"c%d"}]}]}\n' % (i, i, i, i, i) for i in range(6)))
     retrieval.main([str(m), "--train-pool", "--top", "3", "--k", "1", "6"])
     assert '"recall": 1.0' in capsys.readouterr().out
+
+
+def test_loaders(spark, tmp_path):
+    from vecmill.sources import loaders
+
+    spark.range(5).write.parquet(str(tmp_path / "own/task/test/a/b"))
+    spark.range(5, 8).write.parquet(str(tmp_path / "own/task/test/c"))
+    assert loaders.load_annotations(spark, "task", "test", str(tmp_path / "own")).count() == 8
+    assert loaders.load_annotations(spark, "task", "dev", str(tmp_path / "own"), "local").count() == 8
+    hubs = {"one": lambda name, split: (_ for _ in ()).throw(OSError("away")), "two": lambda name, split: spark.range(3)}
+    assert loaders.load_annotations(spark, "else", "test", str(tmp_path / "own"), hubs=hubs).count() == 3
+    with pytest.raises(FileNotFoundError, match="away"):
+        loaders.load_annotations(spark, "else", "test", hubs=hubs, backend="one")
+    with pytest.raises(ValueError):
+        loaders.load_annotations(spark, "else", "test", backend="three")
+    with pytest.raises(FileNotFoundError):
+        loaders.read_tree(spark, str(tmp_path / "nothing"))
+    calls = []
+
+    def source():
+        calls.append(1)
+        return spark.range(4)
+
+    where = str(tmp_path / "copy")
+    assert loaders.materialize(source, where, split="test").count() == 4 and loaders.materialize(source, where).count() == 4
+    assert calls == [1] and loaders.manifest(where)["split"] == "test" and loaders.manifest(where)["files"]
+    (tmp_path / "copy" / loaders.COMPLETE).unlink()
+    assert not loaders.is_complete(where) and loaders.materialize(source, where).count() == 4 and calls == [1, 1]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, long_form
+from .kernels import lists, matrix
 
 
 def recall_at(result: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 10, 100, 1000)) -> DataFrame:
@@ -49,17 +52,58 @@ def reconstruction_error(original: DataFrame, decoded: DataFrame) -> DataFrame:
     return pair.select(sq.alias("sq")).agg(F.count("*").alias("n"), F.avg("sq").alias("mse"), F.avg(F.sqrt("sq")).alias("mean_distance"))
 
 
+def coding_error(model, df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """The same of vectors and what a quantizer makes of them, in one pass: no codes or vectors are shuffled."""
+
+    def run(batches):
+        n, squares, distances = 0, 0.0, 0.0
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b["v"])
+                sq = ((x - model.decode(model.codes(x))) ** 2).sum(axis=1)
+                n, squares, distances = n + len(sq), squares + float(sq.sum()), distances + float(np.sqrt(sq).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([squares]), pa.array([distances])], ["n", "squares", "distances"])
+
+    parts = df.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").mapInArrow(run, "n long, squares double, distances double")
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    return parts.agg(n.alias("n"), (F.sum("squares") / F.nullif(n, F.lit(0))).alias("mse"), (F.sum("distances") / F.nullif(n, F.lit(0))).alias("mean_distance"))
+
+
 def dim_stats(df: DataFrame, least: float = 1e-6) -> DataFrame:
     """i, mean, std (of the population, at least ``least``) of each component."""
     return long_form(df).groupBy("i").agg(F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(least)).alias("std"))
 
 
-def dim_correlation(df: DataFrame, absolute: bool = False) -> DataFrame:
-    """i, j, r for all pairs of components, within [-1, 1]. Rows are summed up to one d x d table in
-    each task by the aggregate; the pairs of one row come from its own array, not from a join."""
-    e = df.select(F.posexplode("embedding").alias("i", "x"), F.col("embedding").alias("v")).select("i", F.col("x").cast("double").alias("x"), F.posexplode("v").alias("j", "y"))
-    r = F.least(F.greatest(F.corr("x", F.col("y").cast("double")), F.lit(-1.0)), F.lit(1.0))
-    return e.groupBy("i", "j").agg((F.abs(r) if absolute else r).alias("r"))
+def dim_correlation(df: DataFrame, absolute: bool = False, vector: str = "embedding") -> DataFrame:
+    """i, j, r for all pairs of components, within [-1, 1]; a component without variance has r = 0 with all.
+    Each task adds up its vectors' sums and products batch by batch and hands on a d x d table, shifted by
+    a first vector so that large means cost no digits. Vectors that are null, of another length than
+    the first or not finite take no part."""
+    src = df.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf'))")
+    first = src.first()
+    if first is None or not len(first["v"]):
+        return df.sparkSession.createDataFrame([], "i int, j int, r double")
+    shift = np.array(first["v"])
+    d = len(shift)
+
+    def run(batches):
+        n, sums, products = 0, np.zeros(d), np.zeros((d, d))
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b["v"].flatten()).reshape(-1, d) - shift
+                n, sums, products = n + len(x), sums + x.sum(axis=0), products + x.T @ x
+        if n:
+            each = pa.array(np.arange(d, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([each, pa.array(np.full(d, n)), pa.array(sums), lists(np.tile(sums, (d, 1)), pa.float64()), lists(products, pa.float64())], ["i", "n", "s", "t", "p"])
+
+    parts = src.where(F.size("v") == d).mapInArrow(run, "i int, n long, s double, t array<double>, p array<double>")
+    cells = parts.select("i", "n", "s", F.posexplode(F.arrays_zip("t", "p")).alias("j", "c")).groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("c.t").alias("t"), F.sum("c.p").alias("p"))
+    cells = cells.withColumn("cov", F.col("p") - F.col("s") * F.col("t") / F.col("n"))
+    var = cells.where("i = j").select("i", F.col("cov").alias("var"), F.col("p").alias("scale"))
+    flat = lambda v, scale: F.col(v) <= F.col(scale) * 1e-14
+    wide = cells.join(F.broadcast(var.withColumnsRenamed({"var": "a", "scale": "sa"})), "i").join(F.broadcast(var.withColumnsRenamed({"i": "j", "var": "b", "scale": "sb"})), "j")  # a row for each component
+    r = F.when(flat("a", "sa") | flat("b", "sb"), 0.0).otherwise(F.least(F.greatest(F.col("cov") / F.sqrt(F.col("a") * F.col("b")), F.lit(-1.0)), F.lit(1.0)))
+    return wide.select("i", "j", (F.abs(r) if absolute else r).alias("r"))
 
 
 def dim_neighbours(correlation: DataFrame, k: int, least: float = 0.0) -> DataFrame:
@@ -80,7 +124,7 @@ def group_adjacency(neighbours: DataFrame, membership: DataFrame) -> DataFrame:
     """ga, gb: groups tied by some neighbours, both ways. membership: i, gid."""
     a = membership.select(F.col("i"), F.col("gid").alias("ga"))
     b = membership.select(F.col("i").alias("j"), F.col("gid").alias("gb"))
-    e = neighbours.select("i", "j").join(F.broadcast(a), "i").join(F.broadcast(b), "j").where("ga <> gb").select("ga", "gb")  # a row for each component
+    e = neighbours.select("i", "j").join(a, "i").join(b, "j").where("ga <> gb").select("ga", "gb")
     return e.union(e.select("gb", "ga")).distinct()
 
 
@@ -114,9 +158,27 @@ def ols(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     )
 
 
-def value_range(df: DataFrame, value: str, *quantiles: float) -> DataFrame:
-    """least, most and the interpolated quantiles q1, q2, ..."""
-    return df.agg(F.min(value).alias("least"), F.max(value).alias("most"), *[F.percentile(value, F.lit(q)).alias(f"q{i}") for i, q in enumerate(quantiles, 1)])
+def value_range(df: DataFrame, value: str, *quantiles: float, accuracy: int = 10_000) -> DataFrame:
+    """least, most and the interpolated quantiles q1, q2, ... of the values that aren't null. A sketch tells
+    between which values each quantile lies; a second pass counts what is below them and takes the exact
+    quantile of what is between, so that no buffer holds more than a few of ``accuracy`` parts."""
+    x = F.col(value).cast("double")
+    src = df.where(x.isNotNull()).select(x.alias("x"))
+    ends = [min(max(q + side * 2 / accuracy, 0.0), 1.0) for q in quantiles for side in (-1, 1)]
+    first = src.agg(F.count("*").alias("n"), *([F.percentile_approx("x", ends, accuracy).alias("ends")] if ends else [])).first()
+    n = first["n"]
+    if not n or not quantiles:
+        return df.agg(F.min(value).alias("least"), F.max(value).alias("most"), *[F.lit(None).cast("double").alias(f"q{i}") for i in range(1, len(quantiles) + 1)])
+    cuts = list(zip(first["ends"][::2], first["ends"][1::2]))
+    counts = src.agg(*[f(c).alias(f"{k}{i}") for i, (lo, hi) in enumerate(cuts) for k, f, c in (("below", F.count_if, F.col("x") < lo), ("inside", F.count_if, F.col("x").between(lo, hi)))]).first()
+    exact = []
+    for i, (q, (lo, hi)) in enumerate(zip(quantiles, cuts)):
+        at, inside = q * (n - 1) - counts[f"below{i}"], counts[f"inside{i}"]
+        if 0 <= at <= inside - 1:
+            exact.append(F.percentile(F.when(F.col("x").between(lo, hi), F.col("x")), F.lit(at / (inside - 1) if inside > 1 else 0.0)))
+        else:  # the sketch missed it
+            exact.append(F.percentile("x", F.lit(q)))
+    return src.agg(F.min("x").alias("least"), F.max("x").alias("most"), *[e.alias(f"q{i}") for i, e in enumerate(exact, 1)])
 
 
 def keep_rates(df: DataFrame, kept: Column, *by: str) -> DataFrame:

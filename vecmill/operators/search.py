@@ -38,17 +38,35 @@ def query_blocks(queries: DataFrame, size: int, id_col: str, vector: str):
         yield np.array(ids, np.int64), np.array(vectors, np.float64)
 
 
+def _size(payload) -> int:
+    return payload.nbytes if isinstance(payload, np.ndarray) else sum(map(_size, payload))
+
+
+def passes(blocks, most: int = 64 << 20):
+    """Blocks of queries in lists of about ``most`` bytes: what one pass over the base takes along."""
+    now, size = [], 0
+    for block in blocks:
+        if now and size + _size(block[1]) > most:
+            yield now
+            now, size = [], 0
+        now.append(block)
+        size += _size(block[1])
+    if now:
+        yield now
+
+
 def _over_blocks(base: DataFrame, blocks, kernel, k: int) -> DataFrame:
-    """kernel(ids, batch, payload) for each Arrow batch of the base; a pass over the base for each block."""
+    """kernel(ids, batch, payload) for each Arrow batch of the base and each block; one pass over the base
+    for as many blocks as 64 MB hold."""
     spark, parts = base.sparkSession, []
-    for ids, payload in blocks:
-        sent = spark.sparkContext.broadcast((ids, payload))  # bounded by the block's size
+    for some in passes(blocks):
+        sent = spark.sparkContext.broadcast(some)  # bounded by the pass
 
         def run(batches, sent=sent):
-            ids, payload = sent.value
             for b in batches:
                 if b.num_rows:
-                    yield best_of_block(ids, b["vec_id"].to_numpy(zero_copy_only=False), kernel(b, payload), k)
+                    for ids, payload in sent.value:
+                        yield best_of_block(ids, b["vec_id"].to_numpy(zero_copy_only=False), kernel(b, payload), k)
 
         parts.append(base.mapInArrow(run, RESULT))
     if not parts:

@@ -336,8 +336,7 @@ def pq_codes_histogram(spark, sf):
 
 @query("WITH " + START + ", e AS (SELECT vec_id, sum(d2) AS sq FROM codes GROUP BY vec_id) SELECT count(*) AS n, round(avg(sq), 6) AS mse, round(avg(sqrt(sq)), 6) AS mean_distance FROM e")
 def pq_decode_error(spark, sf):
-    q, c = coded(spark, sf)
-    e = metrics.reconstruction_error(vectors(spark, sf), q.decoded(c))
+    e = metrics.coding_error(fixed_pq(spark, sf), vectors(spark, sf))
     return e.select("n", F.round("mse", 6).alias("mse"), F.round("mean_distance", 6).alias("mean_distance"))
 
 
@@ -498,8 +497,98 @@ def corpus_first_wins(spark, sf):
 
 @query("SELECT sha256(text) AS signature, min(doc_id) AS first_doc FROM documents GROUP BY text")
 def corpus_distinct_signature(spark, sf):
+    corpus = table(spark, sf, "documents").select(F.format_string("%020d", "doc_id").alias("name"), F.array(retrieval.text_part(F.col("text"))).alias("parts"))
+    found = retrieval.distinct_corpus([corpus])
+    return found.select(F.sha2(F.col("parts")[0]["value"], 256).alias("signature"), F.col("name").cast("long").alias("first_doc"))
+
+
+@query("SELECT doc_id, CAST(n AS INTEGER) AS batch FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS n FROM documents)")
+def numbered_batches(spark, sf):
+    """Rows in batches of 64 by id, as a chunked reader hands them out: places come from counts of id ranges."""
+    d = table(spark, sf, "documents").select("doc_id")
+    part = d.repartitionByRange("doc_id").withColumn("p", F.spark_partition_id())
+    part = part.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("doc_id")))
+    before = part.groupBy("p").agg(F.max("n").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
+    return part.join(before, "p").select("doc_id", F.floor((F.col("before") + F.col("n") - 1) / 64).cast("int").alias("batch"))
+
+
+@query("SELECT doc_id, coalesce(lang, source, 'none') AS value FROM documents")
+def first_present_value(spark, sf):
     d = table(spark, sf, "documents")
-    return d.groupBy(F.sha2("text", 256).alias("signature")).agg(F.min("doc_id").alias("first_doc"))
+    return d.select("doc_id", T.first_present(d, "no such column", "lang", "source", default="none").alias("value"))
+
+
+@query("SELECT CAST(b AS INTEGER) AS bits, CASE WHEN b <= 7 THEN 'tinyint' WHEN b <= 15 THEN 'smallint' ELSE 'int' END AS type FROM range(1, 17) r(b)")
+def code_types(spark, sf):
+    return spark.createDataFrame([(b, V.code_type(b)) for b in range(1, 17)], "bits int, type string")
+
+
+@query("SELECT CAST(g AS INTEGER) AS g, CAST(i AS INTEGER) AS i FROM (SELECT label AS g, count(*) AS n, coalesce(sum(count(*)) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM embeddings GROUP BY label) t, range(1000000) r(i) WHERE i >= s AND i < s + n")
+def contiguous_blocks(spark, sf):
+    """Consecutive blocks as long as the labels are frequent."""
+    sizes = [r["count"] for r in vectors(spark, sf).groupBy("label").count().orderBy("label").collect()]  # a row for each label
+    return spark.createDataFrame([(g, i) for g, block in enumerate(V.contiguous(sizes)) for i in block], "g int, i int")
+
+
+def _folder(spark, what: str) -> str:
+    """A new folder where all executors can write: below spark.checkpoint.dir or, in local mode only, a temporary one."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="vecmill-")
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def _written_lines(spark, df: DataFrame, what: str) -> str:
+    """Text lines in one file, in their order."""
+    path = _folder(spark, what)
+    df.coalesce(1).write.text(path)
+    return path
+
+
+@query(
+    "SELECT 'm:' || item_id AS query_id, text AS prompt, [CAST(item_id % 7 AS VARCHAR)] AS labels, CAST(2 AS INTEGER) AS n_candidates FROM benchmark"
+)
+def manifest_task(spark, sf):
+    """Benchmark items written as a manifest and read back."""
+    part = lambda v: F.struct(F.lit("text").alias("kind"), v.alias("value"))
+    name = (F.col("item_id") % 7).cast("string")
+    lines = table(spark, sf, "benchmark").select(
+        F.to_json(F.struct(F.concat(F.lit("m:"), "item_id").alias("query_id"), F.array(part(F.col("text"))).alias("query_parts"), F.array(name).alias("labels"), F.array(*[F.struct(n.alias("name"), F.array(part(n)).alias("parts")) for n in (name, F.lit("other"))]).alias("candidates"))).alias("value")
+    )
+    q, _ = artifacts.read_manifest(spark, _written_lines(spark, lines, "manifest"), "m")
+    return q.select("query_id", F.col("parts")[0]["value"].alias("prompt"), "labels", F.size("candidate_names").alias("n_candidates"))
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 25")
+def jsonl_scan(spark, sf):
+    """The first 25 lines of documents written by id."""
+    lines = table(spark, sf, "documents").orderBy("doc_id").select(F.to_json(F.struct("doc_id", "lang")).alias("value"))
+    return artifacts.read_jsonl(spark, _written_lines(spark, lines, "jsonl"), "doc_id long, lang string", 25).select("doc_id", "lang")
+
+
+@query("SELECT source AS section, lang AS method, round(n / 1000, 4) AS recall1, round(n / 7, 4) AS j FROM (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL)")
+def result_tables(spark, sf):
+    """Counts of documents as tables of a Markdown report, parsed back."""
+    n = table(spark, sf, "documents").where("lang is not null and source is not null").groupBy("source", "lang").count()
+    rows = n.select("source", F.col("lang").alias("k"), F.format_string("| **%s** | %.4f | %.4f |", "lang", F.col("count") / 1000, F.col("count") / 7).alias("value"))
+    heads = n.select("source").distinct().select("source", F.posexplode(F.array(F.concat(F.lit("## "), "source"), F.lit("| method | recall@1 | J |"), F.lit("|---|---|---|"))).alias("k", "value"))
+    lines = rows.withColumn("pos", F.struct("source", F.lit(9).alias("a"), "k")).select("pos", "value").union(heads.select(F.struct("source", F.col("k").alias("a"), F.lit("").alias("k")).alias("pos"), "value"))
+    return artifacts.parse_result_tables(lines).select("section", "method", "recall1", "j")
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS embedding FROM embeddings")
+def vector_file_round_trip(spark, sf):
+    """Vectors written by id as vector files and read back: a record's number is its id."""
+    from ..sources import vecfile
+
+    path = _folder(spark, "vectors").removeprefix("file://")
+    vecfile.write_vectors(vectors(spark, sf).orderBy("vec_id"), path)
+    return vecfile.read_vectors(spark, path).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 @query("SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
@@ -584,6 +673,12 @@ def task_image_to_text(spark, sf):
     return q.select("query_id", F.get("labels", F.lit(0)).alias("label"), F.size("candidate_names").alias("n_candidates"), F.col("parts")[0]["value"].alias("prompt"))
 
 
+@query("SELECT 't2i:' || doc_id AS query_id, source || '/a.jpg:' || source AS label, CAST(2 AS INTEGER) AS n_candidates, 'Find it.' || chr(10) || lang AS prompt FROM documents")
+def task_text_to_image_queries(spark, sf):
+    q, _ = retrieval.parse_text_to_image(annotated(spark, sf), "t2i", named_by_caption=True)
+    return q.select("query_id", F.get("labels", F.lit(0)).alias("label"), F.size("candidate_names").alias("n_candidates"), F.col("parts")[0]["value"].alias("prompt"))
+
+
 @query("SELECT DISTINCT name FROM (SELECT source || '/a.jpg:' || source AS name FROM documents UNION ALL SELECT lang || '/b.jpg:' || lang FROM documents)")
 def task_text_to_image(spark, sf):
     return retrieval.parse_text_to_image(annotated(spark, sf), "t2i", named_by_caption=True)[1].select("name")
@@ -657,7 +752,7 @@ def _report(name: str, q: Q.Quantizer, spark, sf) -> DataFrame:
     truth = search.exact_top_k(df, a, 100)
     r = metrics.recall_at(found, truth, (1, 10, 100)).groupBy().pivot("k", [1, 10, 100]).agg(F.first("recall")).toDF("recall_1", "recall_10", "recall_100")
     row = [F.lit(name).alias("model"), F.lit(len(q.groups)).alias("groups"), F.lit(int(sum(q.nbits))).alias("bits"), "mse", "recall_1", "recall_10", "recall_100", "overlap"]
-    return metrics.reconstruction_error(df, q.decoded(codes)).crossJoin(r).crossJoin(metrics.overlap_at(found, truth, 100).drop("k")).select(*row)  # one row each
+    return metrics.coding_error(q, df).crossJoin(r).crossJoin(metrics.overlap_at(found, truth, 100).drop("k")).select(*row)  # one row each
 
 
 @query()

@@ -197,7 +197,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         if kept["docs"]:
             yield flush()
 
-    rows = src.mapInArrow(encode, "id long, bucket int, tie long, ids binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("id"), "tie")
+    rows = src.mapInArrow(encode, "id long, bucket int, tie long, ids binary").repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("id"), "tie")
     return written(rows.mapInArrow(write, "bucket int, seq int, path string, n_docs long, n_tokens long"), "token-manifest")
 
 

@@ -172,7 +172,7 @@ def with_next(docs: DataFrame, pair, schema: str, id_col: str = "doc_id", text_c
 
     spread = src.withColumn("to", F.explode(targets(key, "tie")))
     spread = spread.select("id", "tie", "text", F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("bucket"), (F.col("to") < 0).alias("ghost"))
-    rows = spread.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "ghost", F.asc_nulls_first("id"), "tie")
+    rows = spread.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "ghost", F.asc_nulls_first("id"), "tie")
 
     def run(batches):
         release()

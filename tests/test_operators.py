@@ -275,3 +275,44 @@ def test_coding_error_is_reconstruction_error(spark):
 def test_many_query_blocks_in_one_pass():
     blocks = [(np.arange(4), np.zeros((4, 8)))] * 10
     assert [len(p) for p in search.passes(iter(blocks), most=3 * 256)] == [3, 3, 3, 1] and list(search.passes(iter([]))) == []
+
+
+def one_task(x, ids, queries, k, size, **options):
+    """Rows that a task of exact search hands on, from batches of ``size`` rows."""
+    import pyarrow as pa
+
+    batches = (pa.RecordBatch.from_arrays([pa.array(ids[i : i + size]), kernels.lists(x[i : i + size], pa.float64())], ["vec_id", "v"]) for i in range(0, len(x), size))
+    blocks = [(np.arange(len(queries)), queries)]
+    return list(search.best_of_task(batches, blocks, lambda b: kernels.matrix(b["v"]), lambda v, q: kernels.squared_distances(q, v), k, **options))
+
+
+def test_task_search_against_sorting():
+    rng = np.random.default_rng(5)
+    for k, size, tile in ((1, 7, 1), (5, 3, 40), (100, 20, 64), (4, 1000, 1 << 19)):
+        x, q = rng.integers(-2, 3, (60, 3)) * 1.0, rng.integers(-2, 3, (9, 3)) * 1.0
+        x[::7] = np.nan  # last, by id
+        ids = rng.permutation(60) * 50
+        got = [r for b in one_task(x, ids, q, k, size, tile=tile) for r in zip(*(b[c].to_pylist() for c in ("qid", "vec_id")))]
+        want = [(i, ids[j]) for i, d in enumerate(kernels.squared_distances(q, x)) for j in np.lexsort((ids, d))[:k]]
+        assert got == want
+
+
+def test_task_search_holds_tiles_not_all_pairs():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    peaks = []
+    for n in (500, 4000):
+        x, q = rng.standard_normal((10_000, 4)), rng.standard_normal((n, 4))
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in one_task(x, np.arange(10_000), q, 10, 5000))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        assert rows == n * 10  # once a task, not once a batch
+    assert peaks[1] < 40 and peaks[1] < 2 * peaks[0]  # 4000 x 5000 scores are 160 MB
+
+
+def test_results_count_in_passes():
+    blocks = [(np.arange(4), np.zeros((4, 8)))] * 10
+    assert [len(p) for p in search.passes(iter(blocks), most=3 * 256, k=8)] == [1] * 10
+    assert search.block_size(4096, 10) == 4096 and search.block_size(4096, 10_000) == 104 and search.block_size(4096, 1 << 30) == 1

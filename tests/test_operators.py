@@ -316,3 +316,15 @@ def test_results_count_in_passes():
     blocks = [(np.arange(4), np.zeros((4, 8)))] * 10
     assert [len(p) for p in search.passes(iter(blocks), most=3 * 256, k=8)] == [1] * 10
     assert search.block_size(4096, 10) == 4096 and search.block_size(4096, 10_000) == 104 and search.block_size(4096, 1 << 30) == 1
+
+
+def test_class_metrics_list_no_pairs(spark):
+    queries = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (3, None), (4, "a")], "qid long, label string")
+    items = spark.createDataFrame([(i, "abx"[i % 3]) for i in range(30)] + [(0, "a"), (99, None)], "item long, label string")
+    result = spark.createDataFrame([(0, 1, 0), (0, 2, 1), (0, 3, 3), (1, 1, 0), (1, 5, 4), (3, 1, 0), (4, 1, 99), (4, 2, 3), (4, 4, 3)], "qid long, rank int, item long")
+    got = metrics.class_ranking_metrics(result, queries, items).orderBy("k")
+    want = metrics.ranking_metrics(result, queries.join(items, "label").select("qid", "item")).orderBy("k")
+    assert np.allclose(got.collect(), want.collect())
+    many = spark.range(40_000).selectExpr("id as item", "'a' as label")
+    r = metrics.class_ranking_metrics(spark.createDataFrame([(0, 1, 5)], "qid long, rank int, item long"), many.selectExpr("item as qid", "label"), many, (1,)).first()  # 1,600,000,000 pairs
+    assert r["queries"] == 40_000 and r["recall"] == pytest.approx(1 / 40_000 / 40_000)

@@ -14,6 +14,7 @@ from vecmill.plans import catalogue
 #: Each with its k and whether it searches codes before the vectors.
 SEARCHES = {
     "trained_residual": (100, True),
+    "trained_product_residual": (100, True),
 }
 
 

@@ -15,6 +15,7 @@ from vecmill.plans import catalogue
 SEARCHES = {
     "trained_residual": (100, True),
     "trained_product_residual": (100, True),
+    "trained_opq": (100, True),
 }
 
 

@@ -16,6 +16,7 @@ SEARCHES = {
     "trained_residual": (100, True),
     "trained_product_residual": (100, True),
     "trained_opq": (100, True),
+    "exact_cosine_topk": (10, False),
 }
 
 

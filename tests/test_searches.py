@@ -17,6 +17,7 @@ SEARCHES = {
     "trained_product_residual": (100, True),
     "trained_opq": (100, True),
     "exact_cosine_topk": (10, False),
+    "ground_truth_k": (100, False),
 }
 
 

@@ -18,6 +18,7 @@ SEARCHES = {
     "trained_opq": (100, True),
     "exact_cosine_topk": (10, False),
     "ground_truth_k": (100, False),
+    "trained_uneven": (100, True),
 }
 
 

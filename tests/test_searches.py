@@ -19,6 +19,7 @@ SEARCHES = {
     "exact_cosine_topk": (10, False),
     "ground_truth_k": (100, False),
     "trained_uneven": (100, True),
+    "overlap_at_k": (10, True),
 }
 
 

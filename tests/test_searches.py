@@ -20,6 +20,7 @@ SEARCHES = {
     "ground_truth_k": (100, False),
     "trained_uneven": (100, True),
     "overlap_at_k": (10, True),
+    "exact_l2_topk": (10, False),
 }
 
 

@@ -21,6 +21,7 @@ SEARCHES = {
     "trained_uneven": (100, True),
     "overlap_at_k": (10, True),
     "exact_l2_topk": (10, False),
+    "trained_local_search": (100, True),
 }
 
 

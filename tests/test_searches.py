@@ -22,6 +22,7 @@ SEARCHES = {
     "overlap_at_k": (10, True),
     "exact_l2_topk": (10, False),
     "trained_local_search": (100, True),
+    "adc_vs_exact_recall": (10, True),
 }
 
 

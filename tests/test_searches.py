@@ -23,6 +23,7 @@ SEARCHES = {
     "exact_l2_topk": (10, False),
     "trained_local_search": (100, True),
     "adc_vs_exact_recall": (10, True),
+    "trained_pq": (100, True),
 }
 
 

@@ -24,6 +24,7 @@ SEARCHES = {
     "trained_local_search": (100, True),
     "adc_vs_exact_recall": (10, True),
     "trained_pq": (100, True),
+    "trained_uneven_rotated": (100, True),
 }
 
 
